@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimward.llm import chat, hnsw, mixing, packing, simhash, syncmers, toxicity, warc
+from rimward.llm import chat, hnsw, licenses, lm_scoring, mixing, packing, simhash, syncmers, toxicity, warc
 from rimward.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -30,6 +34,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -54,7 +62,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixture_packing, op3_warc, op4_syncmer_fingerprints, op5_simhash_near_dedup, op7_toxicity, op8_hnsw, op9_source_mixing, op10_chat_formatting)}
+    found = (
+        op1_mixture_packing,
+        op2_lm_scoring,
+        op3_warc,
+        op4_syncmer_fingerprints,
+        op5_simhash_near_dedup,
+        op6_license_scan,
+        op7_toxicity,
+        op8_hnsw,
+        op9_source_mixing,
+        op10_chat_formatting,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
