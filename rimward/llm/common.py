@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,7 +55,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._staged_at = path
+    return read
+
+
+def release(spark: SparkSession, *staged: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, and lets Spark's cleaner drop the shuffle files of
+    finished queries (it does so when the JVM collects the garbage, otherwise only now and then)."""
+    for df in staged:
+        _drop(spark, df._staged_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def lower_words(text: bytes | None) -> list[bytes]:

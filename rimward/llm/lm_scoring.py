@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimward.llm.common import lower_words, stage, text_bytes
+from rimward.llm.common import lower_words, release, stage, text_bytes
 
 CHUNK_TOKENS = 1_000_000
 #: Characters of text for each bucket of counts.
@@ -119,32 +119,27 @@ def _grams(tokens, before, word_hashes):
     return hashes[order], back[which.ravel()]
 
 
-OUT = [("chunk", "long", pa.int64()), ("kind", "int", pa.int32()), ("bucket", "long", pa.int64()), ("a", "binary", pa.binary()), ("b", "binary", pa.binary()), ("c", "binary", pa.binary()), ("d", "binary", pa.binary())]
-OUT_SCHEMA = ", ".join(f"{n} {t}" for n, t, _ in OUT)
-STATE, WORDS, PAIRS = 0, 1, 2
+STATE = [("chunk", "long", pa.int64()), ("ids", "binary", pa.binary()), ("flags", "binary", pa.binary()), ("word", "binary", pa.binary()), ("hashes", "binary", pa.binary())]
+REQUEST = [("chunk", "long", pa.int64()), ("kind", "int", pa.int32()), ("bucket", "long", pa.int64()), ("hashes", "binary", pa.binary()), ("n", "binary", pa.binary()), ("gone", "binary", pa.binary())]
+WORDS, PAIRS = 1, 2
 
 
-def _chunks(buckets: int, chunk_tokens: int):
-    """Documents to chunk states (a: ids, b: folds and lengths, c: tokens, d: word hashes) and requests (a: hashes, b: counts, c: deleted counts)."""
+def _schema(fields: list) -> str:
+    return ", ".join(f"{n} {t}" for n, t, _ in fields)
 
-    def rows(chunk: Chunk, name: int) -> pa.RecordBatch:
-        tokens, lengths = np.concatenate(chunk.tokens), np.array([d[2] for d in chunk.docs], dtype=np.int32)
-        folds = np.array([d[1] for d in chunk.docs], dtype=np.int32)
+
+def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t[2]) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], [t[0] for t in fields])
+
+
+def _states(chunk_tokens: int):
+    """Documents to chunks: ids, flags (folds, then lengths), tokens as places in the chunk's table of words, hashes of that table."""
+
+    def row(chunk: Chunk, name: int) -> pa.RecordBatch:
+        folds = np.array([d[1] + FOLDS * (d[0] is None) for d in chunk.docs], dtype=np.int32)
+        lengths = np.array([d[2] for d in chunk.docs], dtype=np.int32)
         ids = np.array([d[0] if d[0] is not None else 0 for d in chunk.docs], dtype=np.int64)
-        flags = folds + FOLDS * np.array([d[0] is None for d in chunk.docs], dtype=np.int32)
-        words = chunk.hashes()
-        out = [(name, STATE, -1, _squeeze(ids), _squeeze(np.concatenate([flags, lengths])), _squeeze(tokens), _squeeze(words))]
-        fold = np.repeat(folds, lengths)
-        train, deleted = fold != HELD_OUT, fold == DELETED
-        requests = [(WORDS, *_by_hash(words, np.bincount(tokens[train], minlength=len(words)), np.bincount(tokens[deleted], minlength=len(words))))]
-        pairs, which = _grams(tokens, contexts(tokens, lengths, len(words)), words)
-        requests.append((PAIRS, pairs, np.bincount(which[train], minlength=len(pairs)), np.bincount(which[deleted], minlength=len(pairs))))
-        for kind, hashes, counts, gone in requests:
-            to = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(to)) + 1
-            for x, n, g, t in zip(np.split(hashes, cuts), np.split(counts, cuts), np.split(gone, cuts), np.split(to, cuts), strict=True):
-                out.append((name, kind, int(t[0]), _squeeze(np.diff(x, prepend=np.uint64(0))), _squeeze(n.astype(np.uint32)), _squeeze(g.astype(np.uint32)), None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t[2]) for c, t in zip(zip(*out, strict=True), OUT, strict=True)], [t[0] for t in OUT])
+        return _batch([(name, _squeeze(ids), _squeeze(np.concatenate([folds, lengths])), _squeeze(np.concatenate(chunk.tokens)), _squeeze(chunk.hashes()))], STATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -154,10 +149,35 @@ def _chunks(buckets: int, chunk_tokens: int):
             for doc_id, fold, text in zip(batch["doc_id"].to_pylist(), batch["fold"].to_pylist(), batch["_text"], strict=True):
                 chunk.add(doc_id, fold, text.as_py())
                 if chunk.size >= chunk_tokens:
-                    yield rows(chunk, made)
+                    yield row(chunk, made)
                     chunk, made = Chunk(), made + 1
         if chunk.size:
-            yield rows(chunk, made)
+            yield row(chunk, made)
+
+    return run
+
+
+def _requests(buckets: int):
+    """Chunks to requests: sorted hashes of a bucket, training counts, counts in the deleted fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, flags, word, held in zip(*(batch[c] for c in ("chunk", "flags", "word", "hashes")), strict=True):
+                both, tokens, words = _open(flags.as_py(), np.int32), _open(word.as_py(), np.int32), _open(held.as_py(), np.uint64)
+                lengths = both[len(both) // 2 :]
+                fold = np.repeat(both[: len(both) // 2] % FOLDS, lengths)
+                train, deleted = fold != HELD_OUT, fold == DELETED
+                pairs, which = _grams(tokens, contexts(tokens, lengths, len(words)), words)
+                out = []
+                for kind, hashes, counts, gone in (
+                    (WORDS, *_by_hash(words, np.bincount(tokens[train], minlength=len(words)), np.bincount(tokens[deleted], minlength=len(words)))),
+                    (PAIRS, pairs, np.bincount(which[train], minlength=len(pairs)), np.bincount(which[deleted], minlength=len(pairs))),
+                ):
+                    to = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(to)) + 1
+                    for x, n, g, t in zip(np.split(hashes, cuts), np.split(counts, cuts), np.split(gone, cuts), np.split(to, cuts), strict=True):
+                        out.append((name.as_py(), kind, int(t[0]), _squeeze(np.diff(x, prepend=np.uint64(0))), _squeeze(n.astype(np.uint32)), _squeeze(g.astype(np.uint32))))
+                yield _batch(out, REQUEST)
 
     return run
 
@@ -172,10 +192,10 @@ def _sum_bucket(requests: pd.DataFrame) -> pd.DataFrame:
         mine = requests[requests.kind == kind].sort_values("chunk")
         if not len(mine):
             continue
-        hashes = [np.cumsum(_open(x, np.uint64), dtype=np.uint64) for x in mine["a"]]
+        hashes = [np.cumsum(_open(x, np.uint64), dtype=np.uint64) for x in mine["hashes"]]
         sizes = np.cumsum([len(x) for x in hashes])[:-1]
         distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = [np.bincount(which.ravel(), np.concatenate([_open(x, np.uint32) for x in mine[c]]).astype(np.float64), len(distinct)).astype(np.uint64) for c in ("b", "c")]
+        totals = [np.bincount(which.ravel(), np.concatenate([_open(x, np.uint32) for x in mine[c]]).astype(np.float64), len(distinct)).astype(np.uint64) for c in ("n", "gone")]
         answers = [np.split(t[which.ravel()], sizes) for t in totals]
         seen = int((totals[0] > 0).sum()) if kind == WORDS else 0
         for i, (chunk, bucket) in enumerate(zip(mine.chunk, mine.bucket, strict=True)):
@@ -183,15 +203,15 @@ def _sum_bucket(requests: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "n", "gone", "distinct"])
 
 
-COUNTED = "ids binary, flags binary, before binary, word binary, n1 binary, gone1 binary, n2 binary, gone2 binary"
+COUNTED = "ids binary, flags binary, word binary, n1 binary, gone1 binary, n2 binary, gone2 binary"
 
 
 def _meet(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """A chunk with the counts of its tokens: words' by place in its table (the start last), pairs' by token."""
     r = state.iloc[0]
-    both = _open(r["b"], np.int32)
+    both = _open(r["flags"], np.int32)
     lengths = both[len(both) // 2 :]
-    tokens, words = _open(r["c"], np.int32), _open(r["d"], np.uint64)
+    tokens, words = _open(r["word"], np.int32), _open(r["hashes"], np.uint64)
     before = contexts(tokens, lengths, len(words))
 
     def totals(kind, column):
@@ -205,13 +225,14 @@ def _meet(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     n2, gone2 = totals(PAIRS, "n")[which], totals(PAIRS, "gone")[which]
     # each text starts and ends once, so the start's count is the end's
     n1, gone1 = np.append(n1, n1[0]), np.append(gone1, gone1[0])
-    return pd.DataFrame([[r["a"], r["b"], _squeeze(before.astype(np.int32)), r["c"], _squeeze(n1), _squeeze(gone1), _squeeze(n2), _squeeze(gone2)]], columns=[c.split()[0] for c in COUNTED.split(", ")])
+    return pd.DataFrame([[r["ids"], r["flags"], r["word"], _squeeze(n1), _squeeze(gone1), _squeeze(n2), _squeeze(gone2)]], columns=[c.split()[0] for c in COUNTED.split(", ")])
 
 
 def _tokens_of(row: dict) -> tuple:
     both = _open(row["flags"], np.int32)
     flags, lengths = both[: len(both) // 2], both[len(both) // 2 :]
-    return (_open(row["ids"], np.int64), flags % FOLDS, flags >= FOLDS, lengths, _open(row["before"], np.int32), _open(row["word"], np.int32), *(_open(row[c], np.uint64).astype(np.float64) for c in ("n1", "gone1", "n2", "gone2")))
+    word, counts = _open(row["word"], np.int32), [_open(row[c], np.uint64).astype(np.float64) for c in ("n1", "gone1", "n2", "gone2")]
+    return _open(row["ids"], np.int64), flags % FOLDS, flags >= FOLDS, lengths, contexts(word, lengths, len(counts[0]) - 1), word, *counts
 
 
 def context_bucket(counts: np.ndarray) -> np.ndarray:
@@ -284,11 +305,13 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_chars: int =
     rows = docs.select(F.col("doc_id").cast("long"), F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold"), text_bytes().alias("_text"))
     chars = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(32, -(-chars // bucket_chars))
-    sent = stage(rows.mapInArrow(_chunks(buckets, chunk_tokens), OUT_SCHEMA), "lm-chunks")
-    answers = stage(sent.where(F.col("kind") > STATE).groupBy("bucket").applyInPandas(_sum_bucket, ANSWER), "lm-counts")
+    states = stage(rows.mapInArrow(_states(chunk_tokens), _schema(STATE)), "lm-chunks")
+    requests = states.mapInArrow(_requests(buckets), _schema(REQUEST))
+    answers = stage(requests.groupBy("bucket").applyInPandas(_sum_bucket, ANSWER), "lm-counts")
     words = answers.agg(F.sum("distinct")).first()[0] or 0
-    states = sent.where(F.col("kind") == STATE)
+    release(docs.sparkSession)
     counted = stage(states.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_meet, COUNTED), "lm-counted")
+    release(docs.sparkSession, states, answers)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
