@@ -22,9 +22,9 @@ severity is 0; a null doc_id is scored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -45,20 +45,21 @@ def words_of(text: str | None) -> set[str]:
     return set(_LETTERS.findall(text.lower())) if text else set()
 
 
-def word_features(word: str) -> list[str]:
-    """The word itself, marked by a closing blank, and its beginnings."""
-    return [word + " ", *(word[:n] for n in range(3, min(6, len(word)) + 1))]
+def word_features(word: str) -> list[int]:
+    """Hashes of the word itself, marked by a closing blank, and of its beginnings."""
+    return [crc32(x.encode()) for x in (word + " ", *(word[:n] for n in range(3, min(6, len(word)) + 1)))]
 
 
-def features(words: set[str]) -> set[str]:
-    return {x for w in words for x in word_features(w)}
+def features(text: str | None) -> np.ndarray:
+    """The distinct features of a text, sorted."""
+    return np.array(sorted({x for w in words_of(text) for x in word_features(w)}), dtype=np.uint32)
 
 
 @dataclass
 class OrdinalModel:
     """weights by feature, ordered thresholds, and the severity from which a text is toxic."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (np.inf,) * (GRADES - 1)
     cut: float = 0.5
 
@@ -70,7 +71,7 @@ class OrdinalModel:
         for i, text in enumerate(texts):
             if len(known) > 500_000:
                 known.clear()
-            found: set[str] = set()
+            found: set[int] = set()
             for word in words_of(text):
                 own = known.get(word)
                 if own is None:
@@ -87,38 +88,35 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return (x > -np.inf) / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def telling(rows: list[set[str]], toxic: np.ndarray, least: int) -> dict[str, float]:
-    """Features by how far their share among toxic rows is from that among the others, in standard errors."""
-    hot, cold = Counter(), Counter()
-    for found, bad in zip(rows, toxic, strict=True):
-        (hot if bad else cold).update(found)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    out = {}
-    for x in hot.keys() | cold.keys():
-        if hot[x] + cold[x] >= least:
-            p = (hot[x] + cold[x]) / (n1 + n0)
-            out[x] = (hot[x] / n1 - cold[x] / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    return out
+def telling(rows: list[np.ndarray], toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features that ``least`` rows hold, and how far their share among toxic rows is from that among the others, in standard errors."""
+    found, hot, n1 = np.concatenate(rows), np.repeat(toxic, [len(x) for x in rows]), int(toxic.sum())
+    names, which, counts = np.unique(found, return_inverse=True, return_counts=True)
+    bad = np.bincount(which.ravel(), hot, len(names))
+    n0 = len(rows) - n1
+    p = counts / len(rows)
+    score = (bad / n1 - (counts - bad) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    return names[counts >= least], score[counts >= least]
 
 
-def grades(rows: list[set[str]], toxic: np.ndarray, score: dict[str, float]) -> np.ndarray:
+def grades(rows: list[np.ndarray], toxic: np.ndarray, names: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Grades 0 to 3."""
-    found = {x for x in sorted(score, key=lambda x: (-score[x], x))[:100] if score[x] > 0}
-    density = np.array([len(x & found) / np.sqrt(1 + len(x)) if bad else 0.0 for x, bad in zip(rows, toxic, strict=True)])
+    best = np.lexsort((names, -score))[:100]
+    marks = names[best[score[best] > 0]]
+    density = np.array([np.isin(x, marks).sum() / np.sqrt(1 + len(x)) if bad else 0.0 for x, bad in zip(rows, toxic, strict=True)])
     low, high = np.quantile(density[toxic == 1], [1 / 3, 2 / 3])
     return np.where(toxic == 1, 1 + (density > low) + (density > high), 0)
 
 
-def fit(rows: list[set[str]], toxic: np.ndarray, penalty: float = 1e-3, steps: int = 300, least: int = LEAST_DOCS, most: int = KEPT) -> OrdinalModel:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, penalty: float = 1e-3, steps: int = 300, least: int = LEAST_DOCS, most: int = KEPT) -> OrdinalModel:
     """The model of rows of distinct features and 0/1 labels."""
     if len(rows) == 0 or not toxic.any() or toxic.all():
         return OrdinalModel()
-    score = telling(rows, toxic, least)
-    y = grades(rows, toxic, score)
-    vocabulary = sorted(sorted(score, key=lambda x: (-abs(score[x]), x))[:most])
-    at = {x: i for i, x in enumerate(vocabulary)}
-    cols = [sorted(at[x] for x in found if x in at) for found in rows]
-    col = np.fromiter((c for x in cols for c in x), np.int64)
+    names, score = telling(rows, toxic, least)
+    y = grades(rows, toxic, names, score)
+    vocabulary = np.sort(names[np.lexsort((names, -np.abs(score)))[:most]])
+    cols = [np.flatnonzero(np.isin(vocabulary, x, assume_unique=True)) for x in rows]
+    col = np.concatenate(cols)
     row = np.repeat(np.arange(len(rows)), [len(x) for x in cols])
     n, v, k = len(rows), len(vocabulary), GRADES - 1
     share = np.array([(y > j).mean() for j in range(k)]).clip(1e-4, 1 - 1e-4)
@@ -146,7 +144,7 @@ def fit(rows: list[set[str]], toxic: np.ndarray, penalty: float = 1e-3, steps: i
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         wm, tm = w + (momentum - 1) / after * (w - w_old), t + (momentum - 1) / after * (t - t_old)
         w_old, t_old, momentum = w, t, after
-    model = OrdinalModel({vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(float(x) for x in t))
+    model = OrdinalModel({int(vocabulary[i]): float(w[i]) for i in np.flatnonzero(w)}, tuple(float(x) for x in t))
     model.cut = best_cut(model.expected(np.bincount(row, w[col], n)), toxic)
     return model
 
@@ -171,12 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     few = spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, toxic int")
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text")  # at most ``sample`` rows
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "words": [" ".join(sorted(words_of(x))) for x in batch.text]})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "found": [features(x).tobytes() for x in batch.text]})
 
-    found = texts.mapInPandas(words, "doc_id long, toxic int, words string").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "words").limit(sample).toPandas()
-    return fit([features(set(x.split())) for x in found.words], found.toxic.to_numpy(dtype=np.int64))
+    found = texts.mapInPandas(rows, "doc_id long, toxic int, found binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "found").limit(sample).toPandas()
+    return fit([np.frombuffer(x, np.uint32) for x in found.found], found.toxic.to_numpy(dtype=np.int64))
 
 
 def severity(model: OrdinalModel):

@@ -14,10 +14,10 @@ def test_finds_planted_words_and_grades_them():
         text = words(rng, 60, 400)
         n = rng.choice([1, 3, 8]) if i % 6 == 0 else 0
         text += " " + " ".join(rng.choice(["vexo", "grumb"]) + rng.choice(["ing", "ed", "an", "or"]) for _ in range(n))
-        rows.append(toxicity.features(toxicity.words_of(text)))
+        rows.append(toxicity.features(text))
         bad.append(int(n > 0))
     model = toxicity.fit(rows[:600], np.array(bad[:600]))
-    sums = np.array([sum(model.weights.get(x, 0) for x in found) for found in rows[600:]])
+    sums = np.array([sum(model.weights.get(int(x), 0) for x in found) for found in rows[600:]])
     severity = model.expected(sums)
     assert np.mean((severity >= model.cut) == (np.array(bad[600:]) == 1)) > 0.97
     assert list(model.thresholds) == sorted(model.thresholds)
