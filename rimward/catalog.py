@@ -1,15 +1,405 @@
-"""Named queries over the driver's tables and the SQL that checks each of them."""
+"""Named queries over the driver's tables and the SQL that checks each of them.
+
+Points: ``part`` by (p_size, p_retailprice), ``embeddings`` for the case of many dimensions. The SQL
+is brute force: it joins all points with all and shares no plan with the queries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rimward.config import LofConfig
+from rimward.functions import metrics as M
+from rimward.operators import knn as K
+from rimward.operators import lof as L
+from rimward.operators import microcluster as MC
+from rimward.operators import partition as P
+from rimward.operators import rectangles as R
+from rimward.plans import strategies as S
+from rimward.sources.points import as_line, points_from, vectors_from
+
+CONFIG = LofConfig()
+KN = CONFIG.k
+CELL = (2.0, 5.0)
+BOX = (10.0, 920.0, 30.0, 960.0)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_from(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", "p_size", "p_retailprice")
+
+
+def branded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return df.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+
+
+def part_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.knn_grid(parts(spark, sf_dir), KN, cell_points=CONFIG.cell_points)
+
+
+def clusters(spark: SparkSession, sf_dir: str):
+    centroids = MC.centroids_by(branded(spark, sf_dir), "brand").persist()
+    assigned = MC.assign(parts(spark, sf_dir), centroids).persist()
+    return assigned, MC.stats(assigned, centroids).persist()
+
+
+def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle for each hundredth part: its corners are the ranges of size and price."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy((F.col("p_partkey") % 100).alias("id"))
+    return R.normalised(rows.agg(F.max("p_size").cast("double").alias("x1"), F.min("p_retailprice").alias("y1"), F.min("p_size").cast("double").alias("x2"), F.max("p_retailprice").alias("y2")))
+
+
+# --- SQL texts -----------------------------------------------------------------------------------
+
+PTS = "pts AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, p_brand AS brand FROM part)"
+D_L2, D_L1 = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))", "abs(a.x-b.x)+abs(a.y-b.y)"
+
+
+def _knn(d: str = D_L2, k: int = KN, extra: str = "", own: bool = False) -> str:
+    order = f"CASE WHEN a.id = b.id THEN 0 ELSE 1 END, {d}, b.id" if own else f"{d}, b.id"
+    return f"knn AS (SELECT * FROM (SELECT a.id, b.id AS nid, {d} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {order}) AS rn FROM pts a JOIN pts b ON {'true' if own else 'a.id <> b.id'} {extra}) WHERE rn <= {k})"
+
+
+LOF = f"""kd AS (SELECT id, max(dist) AS kdist FROM knn GROUP BY id),
+reach AS (SELECT knn.id, knn.nid, greatest(knn.dist, kd.kdist) AS reach FROM knn JOIN kd ON kd.id = knn.nid),
+lrd AS (SELECT id, CASE WHEN sum(reach) > 0 THEN {KN} / sum(reach) END AS lrd FROM reach GROUP BY id),
+lof AS (SELECT k.id, round(CASE WHEN min(o.lrd) IS NULL OR count(n.lrd) < count(*) THEN 0 ELSE sum(n.lrd) / min(o.lrd) / {KN} END, 6) AS lof FROM knn k JOIN lrd o ON o.id = k.id JOIN lrd n ON n.id = k.nid GROUP BY k.id)"""
+
+
+def _with(*ctes: str, select: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+TOP = "SELECT id, lof FROM lof WHERE lof > 0 ORDER BY lof DESC, id LIMIT 10"
+TOP_SQL = _with(PTS, _knn(), LOF, select=TOP)
+KNN_OUT = "SELECT id, nid, round(dist, 6) AS dist, rn FROM knn"
+
+MCS = """cen AS (SELECT row_number() OVER (ORDER BY brand) AS mc_id, cx, cy FROM (SELECT brand, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM pts GROUP BY brand)),
+asg AS (SELECT id, x, y, mc_id, d FROM (SELECT p.id, p.x, p.y, c.mc_id, sqrt((p.x-c.cx)*(p.x-c.cx)+(p.y-c.cy)*(p.y-c.cy)) AS d, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x-c.cx)*(p.x-c.cx)+(p.y-c.cy)*(p.y-c.cy)), c.mc_id) AS rn FROM pts p CROSS JOIN cen c) WHERE rn = 1),
+st AS (SELECT c.mc_id, c.cx, c.cy, a.n, a.radius FROM (SELECT mc_id, count(*) AS n, max(d) AS radius FROM asg GROUP BY mc_id) a JOIN cen c ON c.mc_id = a.mc_id),
+pr AS (SELECT a.mc_id, b.mc_id AS other, a.radius, b.radius AS o_radius, b.n AS o_n, a.cx, a.cy, b.cx AS o_cx, b.cy AS o_cy, sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) AS d FROM st a JOIN st b ON a.mc_id <> b.mc_id)"""
+KDB = f"""nr AS (SELECT mc_id, o_n AS n, greatest(d - radius - o_radius, 0) AS lo, d + radius + o_radius AS hi FROM pr UNION ALL SELECT mc_id, n - 1, 0, 2 * radius FROM st),
+lo AS (SELECT mc_id, min(lo) AS v FROM (SELECT a.mc_id, a.lo, (SELECT sum(b.n) FROM nr b WHERE b.mc_id = a.mc_id AND b.lo <= a.lo) AS s FROM nr a) WHERE s >= {KN} GROUP BY mc_id),
+hi AS (SELECT mc_id, min(hi) AS v FROM (SELECT a.mc_id, a.hi, (SELECT sum(b.n) FROM nr b WHERE b.mc_id = a.mc_id AND b.hi <= a.hi) AS s FROM nr a) WHERE s >= {KN} GROUP BY mc_id),
+kb AS (SELECT st.mc_id, coalesce(round(lo.v, 6), 0) AS kd_lo, round(hi.v, 6) AS kd_hi FROM st LEFT JOIN lo ON lo.mc_id = st.mc_id LEFT JOIN hi ON hi.mc_id = st.mc_id)"""
+LOB = """ex AS (SELECT pr.mc_id, pr.other, k.kd_hi, greatest(pr.d - pr.radius - pr.o_radius, 0) AS lo, pr.d + pr.radius + pr.o_radius AS hi, o.kd_lo AS o_lo, o.kd_hi AS o_hi FROM pr JOIN kb k ON k.mc_id = pr.mc_id JOIN kb o ON o.mc_id = pr.other
+ UNION ALL SELECT st.mc_id, st.mc_id, k.kd_hi, 0, 2 * st.radius, k.kd_lo, k.kd_hi FROM st JOIN kb k ON k.mc_id = st.mc_id),
+nb AS (SELECT * FROM ex WHERE lo <= kd_hi + 0.000001),
+rc AS (SELECT mc_id, min(greatest(lo, o_lo)) AS r_lo, max(greatest(hi, o_hi)) AS r_hi FROM nb GROUP BY mc_id),
+ar AS (SELECT nb.mc_id, min(rc.r_lo) AS n_lo, max(rc.r_hi) AS n_hi FROM nb JOIN rc ON rc.mc_id = nb.other GROUP BY nb.mc_id),
+lb AS (SELECT st.mc_id, st.n, round(CASE WHEN ar.n_hi > 0 THEN rc.r_lo / ar.n_hi ELSE 0 END, 6) AS lower, round(CASE WHEN ar.n_lo > 0 THEN rc.r_hi / ar.n_lo END, 6) AS upper FROM st JOIN rc ON rc.mc_id = st.mc_id JOIN ar ON ar.mc_id = st.mc_id)"""
+CF = "cf AS (SELECT mc_id, count(*) AS n, round(sum(x), 6) AS sx, round(sum(y), 6) AS sy, round(sum(x*x), 6) AS qx, round(sum(y*y), 6) AS qy FROM asg GROUP BY mc_id)"
+BKT = "b1 AS (SELECT *, ntile(2) OVER (ORDER BY x, id) - 1 AS k1 FROM pts), b2 AS (SELECT *, k1 * 2 + ntile(2) OVER (PARTITION BY k1 ORDER BY y, id) - 1 AS k2 FROM b1), bk AS (SELECT *, k2 * 2 + ntile(2) OVER (PARTITION BY k2 ORDER BY x, id) - 1 AS bucket FROM b2), bs AS (SELECT bucket, count(*) AS n, min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM bk GROUP BY bucket)"
+CELLS = f"cl AS (SELECT CAST(floor((x - (SELECT min(x) FROM pts)) / {CELL[0]}) AS BIGINT) AS cx, CAST(floor((y - (SELECT min(y) FROM pts)) / {CELL[1]}) AS BIGINT) AS cy, count(*) AS n FROM pts GROUP BY 1, 2)"
+RCT = "rc AS (SELECT p_partkey % 100 AS id, CAST(min(p_size) AS DOUBLE) AS lox, CAST(max(p_size) AS DOUBLE) AS hix, min(p_retailprice) AS loy, max(p_retailprice) AS hiy FROM part GROUP BY 1)"
+VEC = "e AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), pts AS (SELECT DISTINCT id FROM e)"
+
+
+# --- neighbours and scores -----------------------------------------------------------------------
+
+
+@query(TOP_SQL)
+def lof_topn(spark, sf_dir):
+    return S.grid(parts(spark, sf_dir), CONFIG)
+
+
+@query(TOP_SQL)
+def lof_pivot_plan(spark, sf_dir):
+    return S.pivot(parts(spark, sf_dir), CONFIG)
+
+
+@query(TOP_SQL)
+def lof_cell_pruning_plan(spark, sf_dir):
+    return S.cell_pruning(parts(spark, sf_dir), CONFIG)
+
+
+@query(TOP_SQL)
+def lof_micro_cluster_plan(spark, sf_dir):
+    return S.micro_cluster(parts(spark, sf_dir), MC.centroids_by(branded(spark, sf_dir), "brand"), CONFIG)
+
+
+@query(_with(PTS, _knn(), LOF, select="SELECT id, lof FROM lof"))
+def lof_all(spark, sf_dir):
+    return L.lof_of(part_knn(spark, sf_dir), KN)
+
+
+@query(_with(PTS, _knn(D_L1), LOF, select=TOP))
+def lof_l1(spark, sf_dir):
+    return S.grid(parts(spark, sf_dir), LofConfig(metric="L1Metric"))
+
+
+@query(_with(PTS, _knn(own=True), LOF, select=TOP))
+def lof_include_self(spark, sf_dir):
+    return S.grid(parts(spark, sf_dir), LofConfig(include_self=True))
+
+
+@query(_with(PTS, _knn(), LOF, select="SELECT id, lof FROM lof WHERE lof > 1.2 ORDER BY lof DESC, id LIMIT 10"))
+def lof_threshold(spark, sf_dir):
+    return S.grid(parts(spark, sf_dir), LofConfig(threshold=1.2))
+
+
+@query(_with(VEC, "pr AS (SELECT a.id, b.id AS nid, round(sqrt(sum((a.v-b.v)*(a.v-b.v))), 9) AS dist FROM e a JOIN e b ON a.i = b.i AND a.id <> b.id GROUP BY 1, 2)", f"knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS rn FROM pr) WHERE rn <= {KN})", LOF, select="SELECT id, lof FROM lof"))
+def lof_embeddings(spark, sf_dir):
+    vectors = vectors_from(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return L.lof_of(K.knn_pivot(vectors, KN, vectors=True, digits=9), KN)
+
+
+@query(_with(PTS, _knn(), select=KNN_OUT))
+def knn_grid(spark, sf_dir):
+    return part_knn(spark, sf_dir).select("id", "nid", F.round("dist", 6).alias("dist"), "rn")
+
+
+@query(_with(PTS, _knn(D_L1), select=KNN_OUT))
+def knn_l1(spark, sf_dir):
+    return K.knn_grid(parts(spark, sf_dir), KN, "L1").select("id", "nid", F.round("dist", 6).alias("dist"), "rn")
+
+
+@query(_with(PTS, _knn(), select=KNN_OUT))
+def knn_pivot(spark, sf_dir):
+    return K.knn_pivot(parts(spark, sf_dir), KN).select("id", "nid", F.round("dist", 6).alias("dist"), "rn")
+
+
+@query(_with(PTS, _knn(extra="AND a.brand = b.brand"), select=KNN_OUT))
+def knn_within_group(spark, sf_dir):
+    return K.knn_within(branded(spark, sf_dir), KN, "brand").select("id", "nid", F.round("dist", 6).alias("dist"), "rn")
+
+
+@query(_with(PTS, _knn(), LOF, select="SELECT id, round(kdist, 6) AS kdist FROM kd"))
+def kdist(spark, sf_dir):
+    return L.kdist(part_knn(spark, sf_dir)).select("id", F.round("kdist", 6).alias("kdist"))
+
+
+@query(_with(PTS, _knn(), select="SELECT id, round(min(dist), 6) AS nn_dist FROM knn GROUP BY id"))
+def nn_dist(spark, sf_dir):
+    return L.nn_dist(part_knn(spark, sf_dir)).select("id", F.round("nn_dist", 6).alias("nn_dist"))
+
+
+@query(_with(PTS, _knn(), LOF, select="SELECT id, nid, round(reach, 6) AS reach FROM reach"))
+def reach_dist(spark, sf_dir):
+    return L.reach_dist(part_knn(spark, sf_dir).persist()).select("id", "nid", F.round("reach", 6).alias("reach"))
+
+
+@query(_with(PTS, _knn(), LOF, select="SELECT id, round(lrd, 6) AS lrd FROM lrd"))
+def lrd(spark, sf_dir):
+    return L.lrd(L.reach_dist(part_knn(spark, sf_dir).persist()), KN).select("id", F.round("lrd", 6).alias("lrd"))
+
+
+BND = "nn AS (SELECT id, min(dist) AS d FROM knn GROUP BY id), bd AS (SELECT r.id, CASE WHEN min(nn.d) > 0 THEN max(r.reach) / min(nn.d) END AS bound FROM reach r JOIN nn ON nn.id = r.nid GROUP BY r.id)"
+
+
+@query(_with(PTS, _knn(), LOF, BND, select="SELECT id, round(bound, 6) AS bound FROM bd"))
+def point_prune_bound(spark, sf_dir):
+    return L.point_bound(part_knn(spark, sf_dir).persist()).select("id", F.round("bound", 6).alias("bound"))
+
+
+@query(_with(PTS, _knn(), LOF, BND, select="SELECT id FROM bd WHERE bound IS NULL OR round(bound, 6) > 2.5"))
+def point_prune_survivors(spark, sf_dir):
+    return L.point_bound(part_knn(spark, sf_dir).persist()).where("bound is null or round(bound, 6) > 2.5").select("id")
+
+
+# --- partitions ----------------------------------------------------------------------------------
+
+
+@query(_with(PTS, _knn(k=1), select="SELECT id, nid, round(dist, 6) AS dist FROM knn WHERE id < nid ORDER BY round(dist, 6), id, nid LIMIT 1"))
+def closest_pair(spark, sf_dir):
+    return P.closest_pair(parts(spark, sf_dir))
+
+
+@query(_with(PTS, select=f"SELECT a.brand, round(min({D_L2}), 6) AS cp_dist FROM pts a JOIN pts b ON a.brand = b.brand AND a.id <> b.id GROUP BY a.brand"))
+def closest_pair_within_group(spark, sf_dir):
+    return P.closest_pair_within(branded(spark, sf_dir), "brand")
+
+
+@query(_with(PTS, BKT, select="SELECT id, bucket FROM bk"))
+def median_buckets(spark, sf_dir):
+    return P.median_buckets(parts(spark, sf_dir)).select("id", "bucket")
+
+
+@query(_with(PTS, BKT, select="SELECT bucket, n, lox, hix, loy, hiy FROM bs"))
+def bucket_stats(spark, sf_dir):
+    return P.bucket_stats(P.median_buckets(parts(spark, sf_dir)))
+
+
+@query(_with(PTS, BKT, select="SELECT a.bucket, b.bucket AS other FROM bs a JOIN bs b ON a.bucket < b.bucket AND a.lox <= b.hix AND b.lox <= a.hix AND a.loy <= b.hiy AND b.loy <= a.hiy"))
+def bucket_overlap(spark, sf_dir):
+    return P.bucket_overlap(P.bucket_stats(P.median_buckets(parts(spark, sf_dir))).persist())
+
+
+@query(_with(PTS, BKT, select="SELECT bucket FROM bs WHERE lox = (SELECT min(lox) FROM bs) OR loy = (SELECT min(loy) FROM bs) OR hix = (SELECT max(hix) FROM bs) OR hiy = (SELECT max(hiy) FROM bs)"))
+def boundary_buckets(spark, sf_dir):
+    return P.boundary_buckets(P.bucket_stats(P.median_buckets(parts(spark, sf_dir))).persist())
+
+
+@query(_with(PTS, CELLS, select="SELECT cx, cy, n FROM cl"))
+def cell_histogram(spark, sf_dir):
+    return P.cell_histogram(parts(spark, sf_dir), *CELL)
+
+
+@query(_with(PTS, CELLS, select=f"SELECT cx, cy, n FROM cl WHERE n > {KN} AND cx >= 4 AND cy >= 4 AND cx <= (SELECT max(cx) FROM cl) - 5 AND cy <= (SELECT max(cy) FROM cl) - 5"))
+def prunable_cells(spark, sf_dir):
+    return P.prunable_cells(parts(spark, sf_dir), KN, *CELL)
+
+
+@query(_with(PTS, _knn(), LOF, select="SELECT p.id, round(greatest(p.x - kdist, (SELECT min(x) FROM pts)), 6) AS lox, round(greatest(p.y - kdist, (SELECT min(y) FROM pts)), 6) AS loy, round(least(p.x + kdist, (SELECT max(x) FROM pts)), 6) AS hix, round(least(p.y + kdist, (SELECT max(y) FROM pts)), 6) AS hiy FROM pts p JOIN kd ON kd.id = p.id"))
+def expansion_box(spark, sf_dir):
+    return P.expansion_box(parts(spark, sf_dir), L.kdist(part_knn(spark, sf_dir)))
+
+
+@query(_with(PTS, BKT, select="SELECT bucket, round(CASE WHEN least(1.5 * 4 / (2 * sqrt(2.0)), s / 5) >= s / 10 THEN least(1.5 * 4 / (2 * sqrt(2.0)), s / 5) END, 6) AS cell_size FROM (SELECT bucket, pow((hix - lox) * (hiy - loy) * 6 / n, 0.5) AS s FROM bs)"))
+def bucket_cell_size(spark, sf_dir):
+    stats = P.bucket_stats(P.median_buckets(parts(spark, sf_dir))).withColumn("area", (F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy"))).withColumn("cp_dist", F.lit(4.0))
+    return P.cell_size(stats, 1.5, KN).select("bucket", F.round("cell_size", 6).alias("cell_size"))
+
+
+# --- micro-clusters ------------------------------------------------------------------------------
+
+
+@query(_with(PTS, MCS, select="SELECT id, mc_id, round(d, 6) AS d FROM asg"))
+def mc_assign(spark, sf_dir):
+    return clusters(spark, sf_dir)[0].select("id", "mc_id", F.round("d", 6).alias("d"))
+
+
+@query(_with(PTS, MCS, select="SELECT mc_id, cx, cy, n, round(radius, 6) AS radius FROM st"))
+def mc_stats(spark, sf_dir):
+    return clusters(spark, sf_dir)[1].withColumn("radius", F.round("radius", 6))
+
+
+@query(_with(PTS, MCS, select="SELECT mc_id, other FROM pr WHERE mc_id < other AND d < radius + o_radius"))
+def mc_overlap(spark, sf_dir):
+    return MC.overlaps(clusters(spark, sf_dir)[1])
+
+
+@query(_with(PTS, MCS, select="SELECT mc_id, other, round(greatest(d - (radius + o_radius), 0), 6) AS least, round(d + (radius + o_radius), 6) AS most FROM pr WHERE mc_id < other"))
+def mc_pair_bounds(spark, sf_dir):
+    return MC.pair_bounds(clusters(spark, sf_dir)[1])
+
+
+@query(_with(PTS, MCS, select="SELECT id, other, round(CASE WHEN pd >= radius + o_radius THEN greatest(d - o_radius, 0) ELSE CASE WHEN pd > 0 THEN abs((o_cx - cx) * (x - (cx + o_cx) / 2) + (o_cy - cy) * (y - (cy + o_cy) / 2)) / pd ELSE 0 END END, 6) AS least, round(d + o_radius, 6) AS most FROM (SELECT a.id, a.x, a.y, pr.other, pr.radius, pr.o_radius, pr.cx, pr.cy, pr.o_cx, pr.o_cy, pr.d AS pd, sqrt((a.x-pr.o_cx)*(a.x-pr.o_cx)+(a.y-pr.o_cy)*(a.y-pr.o_cy)) AS d FROM asg a JOIN pr ON pr.mc_id = a.mc_id)"))
+def mc_point_bounds(spark, sf_dir):
+    return MC.point_bounds(*clusters(spark, sf_dir))
+
+
+@query(_with(PTS, MCS, KDB, select="SELECT mc_id, kd_lo, kd_hi FROM kb"))
+def mc_kdist_bounds(spark, sf_dir):
+    return MC.kdist_bounds(clusters(spark, sf_dir)[1], KN)
+
+
+@query(_with(PTS, MCS, KDB, LOB, select="SELECT mc_id, n, lower, upper FROM lb"))
+def mc_lof_bounds(spark, sf_dir):
+    return MC.lof_bounds(clusters(spark, sf_dir)[1], KN)
+
+
+@query(_with(PTS, MCS, KDB, LOB, select="SELECT mc_id FROM lb WHERE upper < (SELECT lower FROM lb ORDER BY lower DESC, mc_id LIMIT 1 OFFSET 9)"))
+def mc_prune(spark, sf_dir):
+    return MC.pruned(MC.lof_bounds(clusters(spark, sf_dir)[1], KN), CONFIG.n)
+
+
+@query(None)
+def mc_leaders(spark, sf_dir):
+    return MC.leaders(parts(spark, sf_dir), 12.0)
+
+
+@query(_with(PTS, MCS, CF, select="SELECT mc_id, n, sx, sy, qx, qy FROM cf"))
+def cf_entries(spark, sf_dir):
+    return MC.features(clusters(spark, sf_dir)[0])
+
+
+CFD = """cd AS (SELECT a.mc_id, b.mc_id AS other,
+round(sqrt((a.sx/a.n-b.sx/b.n)*(a.sx/a.n-b.sx/b.n)+(a.sy/a.n-b.sy/b.n)*(a.sy/a.n-b.sy/b.n)), 4) AS d0,
+round(abs(a.sx/a.n-b.sx/b.n)+abs(a.sy/a.n-b.sy/b.n), 4) AS d1,
+round(sqrt(greatest((b.n*a.qx-2*a.sx*b.sx+a.n*b.qx)/(a.n*b.n)+(b.n*a.qy-2*a.sy*b.sy+a.n*b.qy)/(a.n*b.n), 0)), 4) AS d2,
+round(sqrt(greatest((2*(a.n+b.n)*(a.qx+b.qx)-2*(a.sx+b.sx)*(a.sx+b.sx))/((a.n+b.n)*(a.n+b.n-1))+(2*(a.n+b.n)*(a.qy+b.qy)-2*(a.sy+b.sy)*(a.sy+b.sy))/((a.n+b.n)*(a.n+b.n-1)), 0)), 4) AS d3,
+round(sqrt(greatest(a.sx*a.sx/a.n+b.sx*b.sx/b.n-(a.sx+b.sx)*(a.sx+b.sx)/(a.n+b.n)+(a.sy*a.sy/a.n+b.sy*b.sy/b.n-(a.sy+b.sy)*(a.sy+b.sy)/(a.n+b.n)), 0)), 4) AS d4
+FROM cf a JOIN cf b ON a.mc_id < b.mc_id)"""
+
+
+@query(_with(PTS, MCS, CF, CFD, select="SELECT * FROM cd"))
+def cf_distances(spark, sf_dir):
+    return MC.feature_distances(MC.features(clusters(spark, sf_dir)[0]))
+
+
+@query(_with(PTS, MCS, CF, CFD, select="SELECT mc_id, other, d0 FROM cd ORDER BY d0, mc_id, other LIMIT 1"))
+def cf_closest_pair(spark, sf_dir):
+    return cf_distances(spark, sf_dir).select("mc_id", "other", "d0").orderBy("d0", "mc_id", "other").limit(1)
+
+
+@query(_with(PTS, MCS, CF, CFD, select="SELECT mc_id, other, d0 FROM cd ORDER BY d0 DESC, mc_id, other LIMIT 1"))
+def cf_farthest_pair(spark, sf_dir):
+    return cf_distances(spark, sf_dir).select("mc_id", "other", "d0").orderBy(F.desc("d0"), "mc_id", "other").limit(1)
+
+
+@query(_with(PTS, MCS, CF, select="SELECT count(*) AS entries, round(sqrt(sum(n * n)), 6) AS sum_lambda FROM cf"))
+def cf_sum_lambda(spark, sf_dir):
+    return MC.sum_lambda(MC.features(clusters(spark, sf_dir)[0]))
+
+
+# --- rectangles and scalars ----------------------------------------------------------------------
+
+
+@query(_with(RCT, select=f"SELECT id FROM rc WHERE lox <= {BOX[2]} AND hix >= {BOX[0]} AND loy <= {BOX[3]} AND hiy >= {BOX[1]}"))
+def rect_intersects(spark, sf_dir):
+    return R.intersects(rects(spark, sf_dir), BOX)
+
+
+@query(_with(RCT, select=f"SELECT id FROM rc WHERE lox >= 1.0 AND hix <= 50.0 AND loy >= 900.0 AND hiy <= 990.0"))
+def rect_contained_by(spark, sf_dir):
+    return R.contained_by(rects(spark, sf_dir), (1.0, 900.0, 50.0, 990.0))
+
+
+@query(_with(RCT, "f AS (SELECT id, round(sqrt(gx * gx + gy * gy), 6) AS dist FROM (SELECT id, greatest(lox - 60.0, 0, 60.0 - hix) AS gx, greatest(loy - 3000.0, 0, 3000.0 - hiy) AS gy FROM rc))", select="SELECT id, dist FROM f WHERE dist <= (SELECT max(dist) FROM (SELECT dist FROM f ORDER BY dist, id LIMIT 5))"))
+def rect_nearest_n(spark, sf_dir):
+    return R.nearest_n(rects(spark, sf_dir), 60.0, 3000.0, 5)
+
+
+@query(_with(RCT, select="SELECT min(lox) AS lox, min(loy) AS loy, max(hix) AS hix, max(hiy) AS hiy FROM rc"))
+def rect_bounds(spark, sf_dir):
+    return R.bounds(rects(spark, sf_dir))
+
+
+@query(_with(RCT, select=f"""SELECT id, round(w, 6) AS width, round(h, 6) AS height, round(w * h, 6) AS area, round(CASE WHEN w > 0 AND h > 0 THEN greatest(w, h) / least(w, h) END, 6) AS aspect, round((lox + hix) / 2, 6) AS mid_x, round((loy + hiy) / 2, 6) AS mid_y,
+round((greatest(hix, {BOX[2]}) - least(lox, {BOX[0]})) * (greatest(hiy, {BOX[3]}) - least(loy, {BOX[1]})) - w * h, 6) AS enlargement,
+round(sqrt(pow(greatest({BOX[0]} - hix, lox - {BOX[2]}, 0), 2) + pow(greatest({BOX[1]} - hiy, loy - {BOX[3]}, 0), 2)), 6) AS distance FROM (SELECT *, hix - lox AS w, hiy - loy AS h FROM rc)"""))
+def rect_measures(spark, sf_dir):
+    return R.measures(rects(spark, sf_dir), BOX)
+
+
+@query(_with(PTS, select="SELECT id, round(abs(30.0 * (x - 25.0) + 500.0 * (y - 1250.0)) / sqrt(30.0 * 30.0 + 500.0 * 500.0), 6) AS d FROM pts"))
+def hyperplane_dist(spark, sf_dir):
+    a, b = [F.lit(10.0), F.lit(1000.0)], [F.lit(40.0), F.lit(1500.0)]
+    return parts(spark, sf_dir).select("id", F.round(M.hyperplane([F.col("x"), F.col("y")], a, b), 6).alias("d"))
+
+
+@query(_with(PTS, "c AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy FROM pts)", select="SELECT id, round(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)), 6) AS pd FROM pts, c ORDER BY pd DESC, id"))
+def pivot_dist_sort(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    row = p.agg(((F.min("x") + F.max("x")) / 2).alias("x"), ((F.min("y") + F.max("y")) / 2).alias("y")).first()
+    return p.select("id", F.round(M.l2([F.col("x"), F.col("y")], [F.lit(row["x"]), F.lit(row["y"])]), 6).alias("pd")).orderBy(F.desc("pd"), "id")
+
+
+@query(_with(PTS, select="SELECT id, concat_ws(',', id, x, y) AS line FROM pts"))
+def point_lines(spark, sf_dir):
+    return parts(spark, sf_dir).select("id", as_line("id", "x", "y").alias("line"))
