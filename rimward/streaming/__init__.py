@@ -1,0 +1 @@
+"""Nothing yet: the catalogue is over finished tables; a stream would be scored batch by batch with foreachBatch."""
