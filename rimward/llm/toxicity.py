@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE = 8000
+SAMPLE = 5000
 LEAST_DOCS = 5
 #: Features that the fit may give a weight.
 KEPT = 1000
