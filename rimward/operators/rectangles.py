@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from rimward.functions.metrics import box_inside, boxes_meet, gap_to_box
 
 C = F.col
-LO, HI = [C("lox"), C("loy")], [C("hix"), C("hiy")]
+
+
+def _own():
+    return [C("lox"), C("loy")], [C("hix"), C("hiy")]
 
 
 def normalised(rects: DataFrame) -> DataFrame:
@@ -20,16 +23,16 @@ def _box(box):
 
 
 def intersects(rects: DataFrame, box: tuple) -> DataFrame:
-    return rects.where(boxes_meet(LO, HI, *_box(box))).select("id")
+    return rects.where(boxes_meet(*_own(), *_box(box))).select("id")
 
 
 def contained_by(rects: DataFrame, box: tuple) -> DataFrame:
-    return rects.where(box_inside(LO, HI, *_box(box))).select("id")
+    return rects.where(box_inside(*_own(), *_box(box))).select("id")
 
 
 def nearest_n(rects: DataFrame, x: float, y: float, n: int) -> DataFrame:
     """The n nearest rectangles of a point and all that tie with the last, ties by id."""
-    gaps = [gap_to_box(F.lit(p), lo, hi) for p, lo, hi in zip((float(x), float(y)), LO, HI, strict=True)]
+    gaps = [gap_to_box(F.lit(p), lo, hi) for p, lo, hi in zip((float(x), float(y)), *_own(), strict=True)]
     far = rects.select("id", F.round(F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1]), 6).alias("dist")).persist()
     last = far.orderBy("dist", "id").limit(n).agg(F.max("dist").alias("last"))
     return far.join(F.broadcast(last), C("dist") <= C("last")).select("id", "dist")
