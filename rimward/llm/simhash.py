@@ -12,6 +12,12 @@ each task then keeps a spanning forest of the links it saw, so links are never w
 pair and none that joins two groups is lost. Components follow by large-star and small-star steps over
 these forests, written to the shared folder after each round.
 
+``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 4 bits of 64
+would mostly miss. It takes fingerprints of ``WIDE`` bits over distinct shingles, lets a segment differ by 2 bits (each
+side enumerates the ball of radius 1, and the balls meet), verifies the complete distance, and then the similarity on
+the ``SKETCH`` smallest shingle hashes of both texts, which is exact while they hold the union. Where a task
+sees many links, it keeps those of a minimum spanning forest by distance.
+
 Defined cases: a null or empty text has fingerprint zero, which links like any other; a text of fewer
 words than a shingle is one shingle; repeated rows share a component; a null doc_id takes part and the
 component's id is its smallest other id, null if there is none; an empty table gives no rows.
@@ -26,12 +32,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rimward.llm.common import lower_words, stage, text_bytes
+from rimward.llm.common import lower_words, release, stage, text_bytes
 
 SHINGLE = 4
 DISTANCE = 4
 #: Fingerprints of one segment value that are held in one row.
 BLOCK = 512
+#: Bits of the fingerprints behind ``similar``, in two longs.
+WIDE = 128
+#: Bits that texts of the least similarity may differ by: 0.145 of them on average, and about two deviations.
+WIDE_DISTANCE = 26
+#: Shingle hashes kept of a text to verify a similarity.
+SKETCH = 256
+
+
+def shingles(words: list[bytes], width: int) -> Iterator[bytes]:
+    """Runs of ``width`` words, repeats included; of fewer words the whole sequence."""
+    line = b" ".join(words)
+    if len(words) <= width:
+        return iter([line] if words else [])
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-width]]).tolist()
+    return (line[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True))
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits set in over half of the rows of bytes."""
+    counts = np.zeros(8 * hashes.shape[1], dtype=np.int64)
+    for at in range(0, len(hashes), 65536):  # blocks bound the memory of very long texts
+        counts += np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -41,17 +71,23 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     words = lower_words(text)
     if not words:
         return 0
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        hashes = np.array([digest(line, 42)], dtype=">u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-width]]).tolist()
-        hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)).astype(">u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):  # blocks bound the memory of very long texts
-        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles(words, width)), np.uint64).astype(">u8")
+    return int.from_bytes(majority(hashes.view(np.uint8).reshape(-1, 8)), "big")
+
+
+def wide_fingerprint(text: bytes | None, width: int) -> tuple[int, int, np.ndarray]:
+    """Both signed halves of the ``WIDE``-bit fingerprint over distinct shingles, and the sketch, sorted."""
+    import xxhash
+
+    words = lower_words(text)
+    if not words:
+        return 0, 0, np.zeros(0, np.int32)
+    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in shingles(words, width)]), np.uint8).reshape(-1, 16)
+    first = np.unique(raw[:, :8].copy().view(np.int64).ravel(), return_index=True)[1]
+    raw = raw[first]
+    bits = majority(raw)
+    sketch = np.unique(raw[:, :4].copy().view(np.int32).ravel())[:SKETCH]
+    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True), sketch
 
 
 def _prints(width: int):
@@ -185,10 +221,133 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def _wide_prints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x.as_py(), width) for x in batch["_text"]]
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "hi", "lo", "sketch"])
+
+    return run
+
+
+#: (half, shift, width) of the segments of a wide fingerprint.
+WIDE_SEGMENTS = [(half, shift, width) for half in ("hi", "lo") for shift, width in ((42, 22), (21, 21), (0, 21))]
+
+
+def wide_links(fps: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(node, near, far): for each fingerprint (hi, lo), arrays of nodes of others within the distance that differ by
+    at most 2 bits in a segment, and their distances. Each pair is found from one of its sides.
+
+    Each fingerprint goes to the keys of the balls of radius 1 around its segments; what meets at a key is verified.
+    Keys around a segment value that many share are cut into blocks, and each two blocks of a key meet in a row.
+    """
+
+    def centre(s):
+        half, shift, width = WIDE_SEGMENTS[s]
+        return F.shiftrightunsigned(F.col(half), shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 32))
+
+    balls = [(s, f) for s, (_, _, width) in enumerate(WIDE_SEGMENTS) for f in _ball(width, 1)]
+    values = fps.select(F.explode(F.array(*map(centre, range(len(WIDE_SEGMENTS))))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    around = values.select(F.explode(F.array(*[F.struct(F.col("key").bitwiseXOR(F.lit(1 << i if i >= 0 else 0)).alias("key"), F.col("_n")) for i in range(-1, 22)])).alias("_x"))
+    hot = stage(around.groupBy("_x.key").agg(F.ceil(F.sum("_x._n") / block).alias("_parts")), "similar-hot")  # staged, so that the planner knows its size
+    made = F.explode(F.array(*[F.struct(centre(s).bitwiseXOR(F.lit(f)).alias("key"), F.lit(f != 0).alias("off")) for s, f in balls]))
+    tab = fps.select("hi", "lo", made.alias("_x")).select("_x.key", "_x.off", "hi", "lo")
+    tab = tab.join(hot, "key", "left").withColumn("_part", F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("_parts"))))
+    blocks = tab.groupBy("key", "_part").agg(F.collect_list(F.struct("hi", "lo", "off")).alias("held"))
+    alone = blocks.where((F.size("held") > 1)).select("key", F.explode("held").alias("_x"), "held", F.lit(True).alias("_own"))
+    split = blocks.where("_part >= 0")
+    across = split.alias("a").join(split.alias("b"), F.expr("a.key = b.key and a._part < b._part")).select("a.key", F.explode("a.held").alias("_x"), "b.held", F.lit(False).alias("_own"))
+
+    def masked(half):
+        return F.coalesce(*[F.when(F.shiftright("key", 32) == s, F.lit(_signed(((1 << w) - 1) << shift))) for s, (h, shift, w) in enumerate(WIDE_SEGMENTS) if h == half], F.lit(0))
+
+    def verified(x):
+        hi, lo = x["hi"].bitwiseXOR(F.col("hi")), x["lo"].bitwiseXOR(F.col("lo"))
+        near = F.bit_count(hi) + F.bit_count(lo) <= distance
+        once = ~F.col("_own") | (x["hi"] < F.col("hi")) | ((x["hi"] == F.col("hi")) & (x["lo"] < F.col("lo")))
+        # equal segments meet at every key of their ball, but count only in its centre
+        afresh = ~F.col("off") | (hi.bitwiseAND(F.col("_mh")).bitwiseOR(lo.bitwiseAND(F.col("_ml"))) != 0)
+        return near & once & afresh
+
+    met = alone.unionAll(across).select("held", "_own", "_x.hi", "_x.lo", "_x.off", masked("hi").alias("_mh"), masked("lo").alias("_ml"))
+    met = met.select("hi", "lo", F.filter("held", verified).alias("held")).where(F.size("held") > 0)
+    far = F.transform("held", lambda x: F.bit_count(x["hi"].bitwiseXOR(F.col("hi"))) + F.bit_count(x["lo"].bitwiseXOR(F.col("lo"))))
+    return met.select(F.xxhash64("hi", "lo").alias("node"), F.transform("held", lambda x: F.xxhash64(x["hi"], x["lo"])).alias("near"), far.alias("far"))
+
+
+def _nearest_forests(most: int = 500_000):
+    """Batches of (node, near, far) to the edges (node, top) of a minimum spanning forest of what the task saw."""
+
+    def forest(node, top, far):
+        kept, seen = [], Forest()
+        pairs = np.unique(np.rec.fromarrays([far, node, top], names="far,node,top"))
+        for d, a, b in pairs.tolist():
+            if seen.root(a) != seen.root(b):
+                seen.join(a, b)
+                kept.append((a, b, d))
+        return [np.array(c, np.int64) for c in zip(*kept, strict=True)] if kept else [np.zeros(0, np.int64)] * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def edges():
+            node, top, far = (np.concatenate(c) for c in zip(*held, strict=True))
+            if size <= most:  # few enough to keep every link
+                pairs = np.unique(np.rec.fromarrays([node, top], names="node,top"))
+                node, top = pairs.node, pairs.top
+            else:
+                node, top, far = forest(node, top, far)
+            return node, top, far
+
+        for batch in batches:
+            near, far = batch["near"], batch["far"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            times = near.value_lengths().to_numpy(zero_copy_only=False)
+            held.append((np.repeat(batch["node"].to_numpy(), times), near.flatten().to_numpy(zero_copy_only=False), far))
+            size += len(far)
+            if size > most:
+                node, top, far = edges()
+                held, size = [(node, top, far)], len(node)
+                if size > most // 2:  # still many: they go out and a new forest begins
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], ["node", "top"])
+                    held, size = [], 0
+        if held:
+            node, top, _ = edges()
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], ["node", "top"])
+
+    return run
+
+
+def similarity(a: str, b: str):
+    """The Jaccard similarity of two sketch columns, estimated on the ``SKETCH`` smallest members of their union."""
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.greatest(F.size(least), F.lit(1))
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, node, component_id): texts linked by a similarity of ``least`` or more share a component."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text")).mapInArrow(_wide_prints(width), "doc_id long, hi long, lo long, sketch array<int>")
+    prints = stage(rows.withColumn("node", F.xxhash64("hi", "lo")), "similar")
+    fps = stage(prints.groupBy("node", "hi", "lo").agg(F.min("doc_id").alias("least")), "similar-distinct")
+    edges = stage(wide_links(fps.select("hi", "lo", "node"), distance, block).mapInArrow(_nearest_forests(), "node long, top long").distinct(), "similar-links")
+    ends = edges.select("node").unionAll(edges.select("top")).distinct()
+    sketches = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    both = edges.join(sketches.withColumnRenamed("sketch", "_a"), "node").join(sketches.select(F.col("node").alias("top"), F.col("sketch").alias("_b")), "top")
+    tops = components(both.where(similarity("_a", "_b") >= least).select("node", "top"))
+    marked = fps.join(tops.select("node", F.col("top").alias("_top")), "node", "left").withColumn("_top", F.coalesce("_top", "node"))
+    ids = marked.groupBy("_top").agg(F.min("least").alias("component_id"))
+    found = stage(prints.select("doc_id", "node").join(marked.join(ids, "_top").select("node", "component_id"), "node").select("doc_id", "node", "component_id"), "similar-found")
+    release(spark, prints, fps, edges)
+    return found
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id, the first by text
     if it is repeated; of a component without ids one row for each text."""
-    found = near_duplicates(docs, width, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    order = Window.partitionBy(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_no", F.row_number().over(order)).where("_no = 1").drop("_no")
+    # null ids as keys that are equal, so that the join and the window share one shuffle
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_rimward_id"), F.col("doc_id").isNull().alias("_rimward_null")]
+    found = similar(docs, width, least).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*keys).distinct()
+    kept = docs.select("*", *keys).join(found, ["_rimward_id", "_rimward_null"], "left_semi")
+    order = Window.partitionBy("_rimward_id", "_rimward_null", F.when(F.col("_rimward_null"), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    return kept.withColumn("_rimward_no", F.row_number().over(order)).where("_rimward_no = 1").select(*docs.columns)

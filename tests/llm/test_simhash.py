@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rimward.llm import simhash
-from tests.llm.helpers import DOCS, awkward, awkward_rows, empty
+from tests.llm.helpers import DOCS, awkward, awkward_rows, empty, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -71,16 +71,93 @@ def test_links_and_blocks_on_random_prints(spark):
         assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
 
 
+def shingle_set(text):
+    words = (text or "").translate(LOW).encode().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_similar(texts, least=0.8):
+    """Component of each text, by all pairs of distinct shingle sets."""
+    sets = [shingle_set(t) for t in texts]
+    groups = list(range(len(texts)))
+
+    def root(x):
+        while groups[x] != x:
+            x = groups[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= least * len(a | sets[j]) > 0:
+                groups[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
+def least_ids(ids, roots):
+    least = {}
+    for i, r in zip(ids, roots, strict=True):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    return least
+
+
+def edited_rows():
+    """Unrelated texts, near copies of them in chains and stars, and texts that share a passage only."""
+    rng = random.Random(5)
+    rows = []
+    passage = words(rng, 60, 5000)
+    for n in range(12):
+        base = words(rng, rng.choice([120, 180, 240]), 5000).split()
+        rows.append(" ".join(base))
+        for _ in range(rng.choice([0, 2, 25])):
+            copy = list(rng.choice(rows).split() if n % 3 == 0 else base)
+            copy[rng.randrange(len(copy))] = "changed"
+            rows.append(" ".join(copy))
+        rows.append(words(rng, 150, 5000) + " " + passage)
+    return [(i, t, "en", "a", len(t)) for i, t in enumerate(rows)]
+
+
+def test_similar_against_brute_force(spark):
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, DOCS).withColumn("hi", F.lit("clash")).withColumn("node", F.lit(1))
+    roots = brute_similar([r[1] for r in rows])
+    least = least_ids([r[0] for r in rows], roots)
+    want = {r[0]: least[root] for r, root in zip(rows, roots, strict=True)}
+    assert len(set(want.values())) >= 24
+    for block in (2, 512):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, block=block).collect()}
+        assert got == want
+    assert simhash.keep_one(docs).columns == docs.columns
+
+
+def test_forests_keep_what_is_connected():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b), int(d)) for a, b, d in zip(rng.integers(0, 90, 400), rng.integers(100, 190, 400), rng.integers(0, 27, 400), strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([[b]]), pa.array([[d]])], ["node", "near", "far"]) for a, b, d in pairs]
+
+    def tops(edges):
+        forest = simhash.Forest()
+        for a, b in edges:
+            forest.join(a, b)
+        return {x: forest.root(x) for x in list(forest.up)}
+
+    for most in (10, 100, 1000):
+        out = [e for batch in simhash._nearest_forests(most)(iter(batches)) for e in zip(batch["node"].to_pylist(), batch["top"].to_pylist(), strict=True)]
+        assert tops(out) == tops((a, b) for a, b, _ in pairs)
+        assert set(out) <= {(a, b) for a, b, _ in pairs}
+
+
 def test_keep_one_and_empty(spark):
     docs = awkward(spark)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     rows = awkward_rows()
-    roots = brute_components([brute_print(r[1]) for r in rows])
-    least = {}
-    for r, root in zip(rows, roots, strict=True):
-        if r[0] is not None:
-            least[root] = min(least.get(root, r[0]), r[0])
-    assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == set(least.values())
+    least = least_ids([r[0] for r in rows], brute_similar([r[1] for r in rows]))
+    found = kept.collect()
+    assert {r["doc_id"] for r in found if r["doc_id"] is not None} == set(least.values())
+    assert len({r["doc_id"] for r in found}) == len(found)
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
