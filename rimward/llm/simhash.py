@@ -254,8 +254,9 @@ def wide_links(fps: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK
     made = F.explode(F.array(*[F.struct(centre(s).bitwiseXOR(F.lit(f)).alias("key"), F.lit(f != 0).alias("off")) for s, f in balls]))
     tab = fps.select("hi", "lo", made.alias("_x")).select("_x.key", "_x.off", "hi", "lo")
     tab = tab.join(hot, "key", "left").withColumn("_part", F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("_parts"))))
-    blocks = tab.groupBy("key", "_part").agg(F.collect_list(F.struct("hi", "lo", "off")).alias("held"))
-    alone = blocks.where((F.size("held") > 1)).select("key", F.explode("held").alias("_x"), "held", F.lit(True).alias("_own"))
+    # almost all keys are distinct in a task, so rows move as they are and only then become arrays
+    blocks = tab.repartition("key", "_part").groupBy("key", "_part").agg(F.collect_list(F.struct("hi", "lo", "off")).alias("held"))
+    alone = blocks.where(F.size("held") > 1).select("key", F.explode("held").alias("_x"), "held", F.lit(True).alias("_own"))
     split = blocks.where("_part >= 0")
     across = split.alias("a").join(split.alias("b"), F.expr("a.key = b.key and a._part < b._part")).select("a.key", F.explode("a.held").alias("_x"), "b.held", F.lit(False).alias("_own"))
 
