@@ -15,8 +15,8 @@ these forests, written to the shared folder after each round.
 ``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 4 bits of 64
 would mostly miss. It takes fingerprints of ``WIDE`` bits over distinct shingles, lets a segment differ by 2 bits (each
 side enumerates the ball of radius 1, and the balls meet), verifies the complete distance, and then the similarity on
-the ``SKETCH`` smallest shingle hashes of both texts, which is exact while they hold the union. Where a task
-sees many links, it keeps those of a minimum spanning forest by distance.
+the ``SKETCH`` smallest shingle hashes of both texts, which is exact while they hold the union. Each task keeps, of the links
+it sees, those of a minimum spanning forest by distance.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; a text of fewer
 words than a shingle is one shingle; repeated rows share a component; a null doc_id takes part and the
@@ -293,13 +293,7 @@ def _nearest_forests(most: int = 500_000):
         held, size = [], 0
 
         def edges():
-            node, top, far = (np.concatenate(c) for c in zip(*held, strict=True))
-            if size <= most:  # few enough to keep every link
-                pairs = np.unique(np.rec.fromarrays([node, top], names="node,top"))
-                node, top = pairs.node, pairs.top
-            else:
-                node, top, far = forest(node, top, far)
-            return node, top, far
+            return forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
         for batch in batches:
             near, far = batch["near"], batch["far"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
