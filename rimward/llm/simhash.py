@@ -236,11 +236,11 @@ WIDE_SEGMENTS = [(half, shift, width) for half in ("hi", "lo") for shift, width
 
 
 def wide_links(fps: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(node, near, far): for each fingerprint (hi, lo), arrays of nodes of others within the distance that differ by
-    at most 2 bits in a segment, and their distances. Each pair is found from one of its sides.
+    """(node, top): links of fingerprints (hi, lo) within the distance that differ by at most 2 bits in a segment, of
+    which each task keeps those of a minimum spanning forest by distance.
 
-    Each fingerprint goes to the keys of the balls of radius 1 around its segments; what meets at a key is verified.
-    Keys around a segment value that many share are cut into blocks, and each two blocks of a key meet in a row.
+    Each fingerprint goes to the keys of the balls of radius 1 around its segments; what meets at a key is one row, and is
+    verified there. Keys around a segment value that many share are cut into blocks, and each two blocks of a key meet in a row.
     """
 
     def centre(s):
@@ -256,25 +256,64 @@ def wide_links(fps: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK
     tab = tab.join(hot, "key", "left").withColumn("_part", F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("_parts"))))
     # almost all keys are distinct in a task, so rows move as they are and only then become arrays
     blocks = tab.repartition("key", "_part").groupBy("key", "_part").agg(F.collect_list(F.struct("hi", "lo", "off")).alias("held"))
-    alone = blocks.where(F.size("held") > 1).select("key", F.explode("held").alias("_x"), "held", F.lit(True).alias("_own"))
     split = blocks.where("_part >= 0")
-    across = split.alias("a").join(split.alias("b"), F.expr("a.key = b.key and a._part < b._part")).select("a.key", F.explode("a.held").alias("_x"), "b.held", F.lit(False).alias("_own"))
+    across = split.alias("a").join(split.alias("b"), F.expr("a.key = b.key and a._part < b._part")).select("a.key", "a.held", F.col("b.held").alias("other"))
+    met = blocks.where(F.size("held") > 1).select("key", "held", F.lit(None).cast(blocks.schema["held"].dataType).alias("other")).unionAll(across)
 
-    def masked(half):
-        return F.coalesce(*[F.when(F.shiftright("key", 32) == s, F.lit(_signed(((1 << w) - 1) << shift))) for s, (h, shift, w) in enumerate(WIDE_SEGMENTS) if h == half], F.lit(0))
+    def named(side):
+        return F.transform(side, lambda x: F.struct(x["hi"].alias("hi"), x["lo"].alias("lo"), x["off"].alias("off"), F.xxhash64(x["hi"], x["lo"]).alias("node")))
 
-    def verified(x):
-        hi, lo = x["hi"].bitwiseXOR(F.col("hi")), x["lo"].bitwiseXOR(F.col("lo"))
-        near = F.bit_count(hi) + F.bit_count(lo) <= distance
-        once = ~F.col("_own") | (x["hi"] < F.col("hi")) | ((x["hi"] == F.col("hi")) & (x["lo"] < F.col("lo")))
+    return met.select("key", named("held").alias("held"), named("other").alias("other")).mapInArrow(_links(distance), "node long, top long")
+
+
+def _verified(batch: pa.RecordBatch, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrays (node, top, far) of the pairs within the distance in each row: of ``held``, or of ``held`` and ``other``.
+
+    Rows are compared side by side, one offset between partners at a time, so memory follows the batch and not its pairs.
+    """
+    # 64-bit masks of the segments in both halves
+    masks = {h: np.array([((1 << w) - 1) << shift if half == h else 0 for half, shift, w in WIDE_SEGMENTS], np.uint64) for h in ("hi", "lo")}
+    segment = batch["key"].to_numpy() >> 32
+
+    def side(rows: pa.ListArray):
+        """Its columns, and for each element its row; for each row its first element and their number."""
+        flat, n = rows.flatten(), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        hi, lo, off, node = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        return (hi.view(np.uint64), lo.view(np.uint64), off, node), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n, n
+
+    def pairs(a, b, i, j, segs):
+        hi, lo = a[0][i] ^ b[0][j], a[1][i] ^ b[1][j]
+        far = np.bitwise_count(hi).astype(np.int64) + np.bitwise_count(lo)
         # equal segments meet at every key of their ball, but count only in its centre
-        afresh = ~F.col("off") | (hi.bitwiseAND(F.col("_mh")).bitwiseOR(lo.bitwiseAND(F.col("_ml"))) != 0)
-        return near & once & afresh
+        ok = (far <= distance) & (~a[2][i] | ((hi & masks["hi"][segs] | lo & masks["lo"][segs]) != 0))
+        return a[3][i[ok]], b[3][j[ok]], far[ok]
+
+    a, row, start, n = side(batch["held"])
+    b, _, start_b, n_b = side(batch["other"])
+    i = np.arange(len(row))
+    after = (start + n)[row] - i - 1  # partners of the element in its own row
+    i = i[n_b[row] == 0]
+    for s in range(1, int(n[n_b == 0].max(initial=0))):
+        i = i[after[i] >= s]
+        yield pairs(a, a, i, i + s, segment[row[i]])
+    i = np.flatnonzero(n_b[row] > 0)
+    for s in range(int(n_b.max(initial=0))):
+        i = i[n_b[row[i]] > s]
+        yield pairs(a, b, i, start_b[row[i]] + s, segment[row[i]])
+
+
+def _found(distance: int):
+    """Batches of (key, held, other) to those of (node, near, far), each link in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, top, far in _verified(batch, distance):
+                if len(far):
+                    one = pa.array(np.arange(len(far) + 1, dtype=np.int32))
+                    near = pa.ListArray.from_arrays(one, pa.array(np.minimum(node, top)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node, top)), near, pa.ListArray.from_arrays(one, pa.array(far))], ["node", "near", "far"])
 
-    met = alone.unionAll(across).select("held", "_own", "_x.hi", "_x.lo", "_x.off", masked("hi").alias("_mh"), masked("lo").alias("_ml"))
-    met = met.select("hi", "lo", F.filter("held", verified).alias("held")).where(F.size("held") > 0)
-    far = F.transform("held", lambda x: F.bit_count(x["hi"].bitwiseXOR(F.col("hi"))) + F.bit_count(x["lo"].bitwiseXOR(F.col("lo"))))
-    return met.select(F.xxhash64("hi", "lo").alias("node"), F.transform("held", lambda x: F.xxhash64(x["hi"], x["lo"])).alias("near"), far.alias("far"))
+    return run
 
 
 def _nearest_forests(most: int = 500_000):
@@ -313,6 +352,12 @@ def _nearest_forests(most: int = 500_000):
     return run
 
 
+def _links(distance: int):
+    """Batches of (key, held, other) to the edges (node, top) that a task keeps."""
+    found, forests = _found(distance), _nearest_forests()
+    return lambda batches: forests(found(batches))
+
+
 def similarity(a: str, b: str):
     """The Jaccard similarity of two sketch columns, estimated on the ``SKETCH`` smallest members of their union."""
     least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
@@ -325,7 +370,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int =
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text")).mapInArrow(_wide_prints(width), "doc_id long, hi long, lo long, sketch array<int>")
     prints = stage(rows.withColumn("node", F.xxhash64("hi", "lo")), "similar")
     fps = stage(prints.groupBy("node", "hi", "lo").agg(F.min("doc_id").alias("least")), "similar-distinct")
-    edges = stage(wide_links(fps.select("hi", "lo", "node"), distance, block).mapInArrow(_nearest_forests(), "node long, top long").distinct(), "similar-links")
+    edges = stage(wide_links(fps.select("hi", "lo"), distance, block).distinct(), "similar-links")
     ends = edges.select("node").unionAll(edges.select("top")).distinct()
     sketches = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
     both = edges.join(sketches.withColumnRenamed("sketch", "_a"), "node").join(sketches.select(F.col("node").alias("top"), F.col("sketch").alias("_b")), "top")
