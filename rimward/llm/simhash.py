@@ -16,7 +16,7 @@ these forests, written to the shared folder after each round.
 would mostly miss. It takes fingerprints of ``WIDE`` bits over distinct shingles, lets a segment differ by 2 bits (each
 side enumerates the ball of radius 1, and the balls meet), verifies the complete distance, and then the similarity on
 the ``SKETCH`` smallest shingle hashes of both texts, which is exact while they hold the union. Each task keeps, of the links
-it sees, those of a minimum spanning forest by distance.
+that hold, those of a spanning forest.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; a text of fewer
 words than a shingle is one shingle; repeated rows share a component; a null doc_id takes part and the
@@ -236,8 +236,7 @@ WIDE_SEGMENTS = [(half, shift, width) for half in ("hi", "lo") for shift, width
 
 
 def wide_links(fps: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(node, top): links of fingerprints (hi, lo) within the distance that differ by at most 2 bits in a segment, of
-    which each task keeps those of a minimum spanning forest by distance.
+    """(node, top): links of fingerprints (hi, lo) within the distance that differ by at most 2 bits in a segment.
 
     Each fingerprint goes to the keys of the balls of radius 1 around its segments; what meets at a key is one row, and is
     verified there. Keys around a segment value that many share are cut into blocks, and each two blocks of a key meet in a row.
@@ -302,20 +301,6 @@ def _verified(batch: pa.RecordBatch, distance: int) -> Iterator[tuple[np.ndarray
         yield pairs(a, b, i, start_b[row[i]] + s, segment[row[i]])
 
 
-def _found(distance: int):
-    """Batches of (key, held, other) to those of (node, near, far), each link in a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, top, far in _verified(batch, distance):
-                if len(far):
-                    one = pa.array(np.arange(len(far) + 1, dtype=np.int32))
-                    near = pa.ListArray.from_arrays(one, pa.array(np.minimum(node, top)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node, top)), near, pa.ListArray.from_arrays(one, pa.array(far))], ["node", "near", "far"])
-
-    return run
-
-
 def _nearest_forests(most: int = 500_000):
     """Batches of (node, near, far) to the edges (node, top) of a minimum spanning forest of what the task saw."""
 
@@ -353,9 +338,16 @@ def _nearest_forests(most: int = 500_000):
 
 
 def _links(distance: int):
-    """Batches of (key, held, other) to the edges (node, top) that a task keeps."""
-    found, forests = _found(distance), _nearest_forests()
-    return lambda batches: forests(found(batches))
+    """Batches of (key, held, other) to the pairs (node, top), none of which is left out; many repeats are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(np.maximum(a, b), np.minimum(a, b)) for a, b, _ in _verified(batch, distance)]
+            if pairs:
+                node, top = np.unique(np.concatenate([np.stack(p) for p in pairs], axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], ["node", "top"])
+
+    return run
 
 
 def similarity(a: str, b: str):
@@ -374,7 +366,9 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int =
     ends = edges.select("node").unionAll(edges.select("top")).distinct()
     sketches = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
     both = edges.join(sketches.withColumnRenamed("sketch", "_a"), "node").join(sketches.select(F.col("node").alias("top"), F.col("sketch").alias("_b")), "top")
-    tops = components(both.where(similarity("_a", "_b") >= least).select("node", "top"))
+    # only links that hold are thinned: a forest of unverified ones may lose those that hold
+    held = both.where(similarity("_a", "_b") >= least).select("node", F.array("top").alias("near"), F.array(F.lit(0)).alias("far"))
+    tops = components(held.mapInArrow(_nearest_forests(), "node long, top long"))
     marked = fps.join(tops.select("node", F.col("top").alias("_top")), "node", "left").withColumn("_top", F.coalesce("_top", "node"))
     ids = marked.groupBy("_top").agg(F.min("least").alias("component_id"))
     found = stage(prints.select("doc_id", "node").join(marked.join(ids, "_top").select("node", "component_id"), "node").select("doc_id", "node", "component_id"), "similar-found")

@@ -150,6 +150,26 @@ def test_forests_keep_what_is_connected():
         assert set(out) <= {(a, b) for a, b, _ in pairs}
 
 
+def test_links_are_verified_before_they_are_thinned(spark):
+    """Texts of similarity 0.8 or more between which closer links fail the verification stay joined."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(8):
+        base = words(rng, 200, 5000).split()
+        for _ in range(40):
+            copy = list(base)
+            for i in rng.sample(range(0, 200, 10), rng.choice([2, 3, 4, 5])):
+                copy[i] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(rows)]
+    sets = [shingle_set(r[1]) for r in rows]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+    prints = [simhash.wide_fingerprint(r[1].encode(), 5)[:2] for r in rows]
+    near = [[sum(((x ^ y) % 2**64).bit_count() for x, y in zip(p, q, strict=True)) <= 17 for q in prints] for p in prints]  # these always are candidates
+    lost = sum(got[i] != got[j] for i, a in enumerate(sets) for j in range(i) if near[i][j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]))
+    assert lost == 0
+
+
 def test_keep_one_and_empty(spark):
     docs = awkward(spark)
     kept = simhash.keep_one(docs)
