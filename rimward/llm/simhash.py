@@ -13,10 +13,11 @@ pair and none that joins two groups is lost. Components follow by large-star and
 these forests, written to the shared folder after each round.
 
 ``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 4 bits of 64
-would mostly miss. It takes fingerprints of ``WIDE`` bits over distinct shingles, lets a segment differ by 2 bits (each
-side enumerates the ball of radius 1, and the balls meet), verifies the complete distance, and then the similarity on
-the ``SKETCH`` smallest shingle hashes of both texts, which is exact while they hold the union. Each task keeps, of the links
-that hold, those of a spanning forest.
+would mostly miss. Its candidates come from prefix filtering, which misses none: with the shingles in one order for all texts,
+two such sets share a member among the first n - ceil(0.8 n) + 1 of each. Shingles known to be common come last in that order.
+Lengths and places in the prefixes rule out most pairs that meet; the others are verified. The first round takes all candidates of
+keys of few texts and one partner of each text at the others, the second those that lie in different components still.
+Of the links that hold, each task keeps a spanning forest.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; a text of fewer
 words than a shingle is one shingle; repeated rows share a component; a null doc_id takes part and the
@@ -38,10 +39,10 @@ SHINGLE = 4
 DISTANCE = 4
 #: Fingerprints of one segment value that are held in one row.
 BLOCK = 512
-#: Bits of the fingerprints behind ``similar``, in two longs.
-WIDE = 128
-#: Bits that texts of the least similarity may differ by: 0.145 of them on average, and about two deviations.
-WIDE_DISTANCE = 26
+#: Shingles that are known as common; the others count as rare.
+COMMON = 200_000
+#: Of keys with more texts, the first round of ``similar`` takes one partner for each text.
+FEW = 16
 #: Shingle hashes kept of a text to verify a similarity.
 SKETCH = 256
 
@@ -75,19 +76,18 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int.from_bytes(majority(hashes.view(np.uint8).reshape(-1, 8)), "big")
 
 
-def wide_fingerprint(text: bytes | None, width: int) -> tuple[int, int, np.ndarray]:
-    """Both signed halves of the ``WIDE``-bit fingerprint over distinct shingles, and the sketch, sorted."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's shingles, sorted."""
     import xxhash
 
-    words = lower_words(text)
-    if not words:
-        return 0, 0, np.zeros(0, np.int32)
-    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in shingles(words, width)]), np.uint8).reshape(-1, 16)
-    first = np.unique(raw[:, :8].copy().view(np.int64).ravel(), return_index=True)[1]
-    raw = raw[first]
-    bits = majority(raw)
-    sketch = np.unique(raw[:, :4].copy().view(np.int32).ravel())[:SKETCH]
-    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True), sketch
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles(lower_words(text), width)), np.uint64)).view(np.int64)
+
+
+def text_node(hashes: np.ndarray) -> int:
+    """The signed long that stands for all texts of these shingles."""
+    import xxhash
+
+    return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes(), 1))
 
 
 def _prints(width: int):
@@ -221,84 +221,130 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _wide_prints(width: int):
+def least_overlap(n, m, least: float):
+    """How many shingles sets of n and m members share at least if their similarity is ``least`` or more."""
+    return np.ceil(least / (1 + least) * (n + m) - 1e-6).astype(np.int64)
+
+
+def common_shingles(docs: DataFrame, width: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), sorted by hash: shingles that several of a sixteenth of the texts hold, the commonest ``most`` of them.
+
+    They only set the order in which prefixes are taken; any order finds the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch["_text"]:
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x.as_py(), width))], ["h"])
+
+    found = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select(text_bytes().alias("_text")).mapInArrow(run, "h long")
+    rows = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = (rows[c].to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(width: int, least: float, common):
+    """Batches of (doc_id, _text) to those of (doc_id, node, n, keys): the prefix that sets of similarity ``least`` or more share in part."""
+
+    def keys(x: np.ndarray) -> np.ndarray:
+        h, n = common.value
+        times = np.zeros(len(x), np.int64)
+        if len(h):
+            at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+            times = np.where(h[at] == x, n[at], 0)
+        return x[np.lexsort((x, times))[: len(x) - int(np.ceil(least * len(x) - 1e-6)) + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py(), width) for x in batch["_text"]]
+            columns = [pa.array([text_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "node", "n", "keys"])
+
+    return run
+
+
+def _text_nodes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(x.as_py(), width) for x in batch["_text"]]
-            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "hi", "lo", "sketch"])
+            nodes = [text_node(shingle_hashes(x.as_py(), width)) for x in batch["_text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch["_text"]], ["node", "_text"])
 
     return run
 
 
-#: (half, shift, width) of the segments of a wide fingerprint.
-WIDE_SEGMENTS = [(half, shift, width) for half in ("hi", "lo") for shift, width in ((42, 22), (21, 21), (0, 21))]
+def shared_keys(fps: DataFrame) -> DataFrame:
+    """(key, held): the prefix members that several texts have, with (n, pos, node) of each, sorted."""
+    tab = fps.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    # almost all keys are distinct in a task, so rows move as they are and only then become arrays
+    blocks = tab.repartition("key").groupBy("key").agg(F.collect_list(F.struct("n", "pos", "node")).alias("held"))
+    return blocks.where(F.size("held") > 1).withColumn("held", F.array_sort("held"))
 
 
-def wide_links(fps: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(node, top): links of fingerprints (hi, lo) within the distance that differ by at most 2 bits in a segment.
+def _candidates(least: float, few: int = 0):
+    """Batches of (held, other) to pairs (node, top) that lengths and places in the prefixes allow to be similar.
 
-    Each fingerprint goes to the keys of the balls of radius 1 around its segments; what meets at a key is one row, and is
-    verified there. Keys around a segment value that many share are cut into blocks, and each two blocks of a key meet in a row.
+    Members of a row are those of ``held``, or one of ``held`` and one of ``other``; two of one component, if ``held`` has a
+    field ``top``, need no link. With ``few``, rows of more members give each member's next partner only.
     """
 
-    def centre(s):
-        half, shift, width = WIDE_SEGMENTS[s]
-        return F.shiftrightunsigned(F.col(half), shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 32))
-
-    balls = [(s, f) for s, (_, _, width) in enumerate(WIDE_SEGMENTS) for f in _ball(width, 1)]
-    values = fps.select(F.explode(F.array(*map(centre, range(len(WIDE_SEGMENTS))))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
-    around = values.select(F.explode(F.array(*[F.struct(F.col("key").bitwiseXOR(F.lit(1 << i if i >= 0 else 0)).alias("key"), F.col("_n")) for i in range(-1, 22)])).alias("_x"))
-    hot = stage(around.groupBy("_x.key").agg(F.ceil(F.sum("_x._n") / block).alias("_parts")), "similar-hot")  # staged, so that the planner knows its size
-    made = F.explode(F.array(*[F.struct(centre(s).bitwiseXOR(F.lit(f)).alias("key"), F.lit(f != 0).alias("off")) for s, f in balls]))
-    tab = fps.select("hi", "lo", made.alias("_x")).select("_x.key", "_x.off", "hi", "lo")
-    tab = tab.join(hot, "key", "left").withColumn("_part", F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("_parts"))))
-    # almost all keys are distinct in a task, so rows move as they are and only then become arrays
-    blocks = tab.repartition("key", "_part").groupBy("key", "_part").agg(F.collect_list(F.struct("hi", "lo", "off")).alias("held"))
-    split = blocks.where("_part >= 0")
-    across = split.alias("a").join(split.alias("b"), F.expr("a.key = b.key and a._part < b._part")).select("a.key", "a.held", F.col("b.held").alias("other"))
-    met = blocks.where(F.size("held") > 1).select("key", "held", F.lit(None).cast(blocks.schema["held"].dataType).alias("other")).unionAll(across)
+    def columns(rows: pa.ListArray) -> list[tuple[np.ndarray, ...]]:
+        flat, ends = rows.flatten(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        names = ("n", "pos", "node", "top") if flat.type.get_field_index("top") >= 0 else ("n", "pos", "node")
+        columns = [flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+        return [tuple(c[a:b] for c in columns) for a, b in zip(np.r_[0, ends[:-1]].astype(int), ends, strict=True)]
+
+    def partners(one: tuple, others: tuple) -> np.ndarray:
+        n, pos = others[:2]
+        ok = (least * n <= one[0] + 1e-6) & (least * one[0] <= n + 1e-6)
+        ok &= np.minimum(one[0] - one[1], n - pos) >= least_overlap(one[0], n, least)
+        ok &= others[2] != one[2]
+        return others[2][ok & (others[3] != one[3])] if len(one) > 3 else others[2][ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
 
-    def named(side):
-        return F.transform(side, lambda x: F.struct(x["hi"].alias("hi"), x["lo"].alias("lo"), x["off"].alias("off"), F.xxhash64(x["hi"], x["lo"]).alias("node")))
+        def out():
+            pairs = np.array(list(seen), np.int64).reshape(-1, 2)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "top"])
 
-    return met.select("key", named("held").alias("held"), named("other").alias("other")).mapInArrow(_links(distance), "node long, top long")
+        for batch in batches:
+            for held, other in zip(columns(batch["held"]), columns(batch["other"]), strict=True):
+                size = len(held[0])
+                for i in range(size):
+                    one = tuple(int(c[i]) for c in held)
+                    found = partners(one, other if len(other[0]) else tuple(c[i + 1 :] for c in held))
+                    seen.update((max(one[2], x), min(one[2], x)) for x in (found[:1] if few and size > few else found).tolist())
+                    if len(seen) > 200_000:
+                        yield out()
+        yield out()
+
+    return run
 
 
-def _verified(batch: pa.RecordBatch, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Arrays (node, top, far) of the pairs within the distance in each row: of ``held``, or of ``held`` and ``other``.
+def first_candidates(shared: DataFrame, least: float) -> DataFrame:
+    """(node, top): all candidates of keys of few texts, and one partner of each text at the others."""
+    rows = shared.select("held", F.lit(None).cast(shared.schema["held"].dataType).alias("other"))
+    return rows.mapInArrow(_candidates(least, FEW), "node long, top long").distinct()
 
-    Rows are compared side by side, one offset between partners at a time, so memory follows the batch and not its pairs.
+
+def other_candidates(shared: DataFrame, tops: DataFrame, least: float, block: int) -> DataFrame:
+    """(node, top): all candidates of keys of many texts that lie in different components so far.
+
+    Such a key is cut into blocks, and each two blocks of a key meet in a row.
     """
-    # 64-bit masks of the segments in both halves
-    masks = {h: np.array([((1 << w) - 1) << shift if half == h else 0 for half, shift, w in WIDE_SEGMENTS], np.uint64) for h in ("hi", "lo")}
-    segment = batch["key"].to_numpy() >> 32
-
-    def side(rows: pa.ListArray):
-        """Its columns, and for each element its row; for each row its first element and their number."""
-        flat, n = rows.flatten(), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        hi, lo, off, node = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        return (hi.view(np.uint64), lo.view(np.uint64), off, node), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n, n
-
-    def pairs(a, b, i, j, segs):
-        hi, lo = a[0][i] ^ b[0][j], a[1][i] ^ b[1][j]
-        far = np.bitwise_count(hi).astype(np.int64) + np.bitwise_count(lo)
-        # equal segments meet at every key of their ball, but count only in its centre
-        ok = (far <= distance) & (~a[2][i] | ((hi & masks["hi"][segs] | lo & masks["lo"][segs]) != 0))
-        return a[3][i[ok]], b[3][j[ok]], far[ok]
-
-    a, row, start, n = side(batch["held"])
-    b, _, start_b, n_b = side(batch["other"])
-    i = np.arange(len(row))
-    after = (start + n)[row] - i - 1  # partners of the element in its own row
-    i = i[n_b[row] == 0]
-    for s in range(1, int(n[n_b == 0].max(initial=0))):
-        i = i[after[i] >= s]
-        yield pairs(a, a, i, i + s, segment[row[i]])
-    i = np.flatnonzero(n_b[row] > 0)
-    for s in range(int(n_b.max(initial=0))):
-        i = i[n_b[row[i]] > s]
-        yield pairs(a, b, i, start_b[row[i]] + s, segment[row[i]])
+    rows = shared.where(F.size("held") > FEW).select("key", F.explode("held").alias("_x")).select("key", "_x.n", "_x.pos", "_x.node")
+    rows = rows.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    whole = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "pos", "node", "top"))).alias("_all"), F.min("top").alias("_a"), F.max("top").alias("_b")).where("_a < _b")
+    cuts = F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / block).cast("int")))
+    cut = whole.select("_all", cuts.alias("_i")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_i"))))
+    part = lambda i: F.slice("_all", F.col(i) * block + 1, block)
+    # blocks follow each other by length: those too far apart hold no pair
+    near = F.element_at(part("_j"), -1)["n"] + 1e-6 >= least * F.element_at(part("_i"), 1)["n"]
+    met = cut.where(near).select(part("_i").alias("held"), F.when(F.col("_i") > F.col("_j"), part("_j")).alias("other"))
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count that is kept: work does not follow bytes
+    return met.repartition(parts, F.xxhash64("held")).mapInArrow(_candidates(least), "node long, top long").distinct()
 
 
 def _nearest_forests(most: int = 500_000):
@@ -337,42 +383,76 @@ def _nearest_forests(most: int = 500_000):
     return run
 
 
-def _links(distance: int):
-    """Batches of (key, held, other) to the pairs (node, top), none of which is left out; many repeats are."""
+def _sets(width: int):
+    """Batches of (node, _text) to those of (node, held): the text's sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(np.maximum(a, b), np.minimum(a, b)) for a, b, _ in _verified(batch, distance)]
-            if pairs:
-                node, top = np.unique(np.concatenate([np.stack(p) for p in pairs], axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], ["node", "top"])
+            sets = [shingle_hashes(x.as_py(), width).tobytes() for x in batch["_text"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "held"])
 
     return run
 
 
-def similarity(a: str, b: str):
-    """The Jaccard similarity of two sketch columns, estimated on the ``SKETCH`` smallest members of their union."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.greatest(F.size(least), F.lit(1))
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets of hashes, estimated on the ``SKETCH`` smallest members of their union."""
+    union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
+    both = np.intersect1d(a[:SKETCH], b[:SKETCH], assume_unique=True)
+    return len(np.intersect1d(both, union, assume_unique=True)) / max(1, len(union))
+
 
+def _held(least: float):
+    """Batches of (node, top, a, b) to those of (node, near, far) of the pairs whose sets a and b are similar enough."""
 
-def similar(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(x.as_py(), np.int64) for x in batch[c]] for c in ("a", "b")]
+            alike = np.array([similarity(a, b) for a, b in zip(*sides, strict=True)])
+            ok = alike >= least - 1e-12
+            one = pa.array(np.arange(ok.sum() + 1, dtype=np.int32))
+            near = pa.ListArray.from_arrays(one, pa.array(batch["top"].to_numpy()[ok]))
+            far = pa.ListArray.from_arrays(one, pa.array(np.round((1 - alike[ok]) * 1000).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(batch["node"].to_numpy()[ok]), near, far], ["node", "near", "far"])
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(node, top): a spanning forest, in each task, of the pairs whose texts are similar enough.
+
+    Links are thinned only after they are verified: a forest of candidates may lose those that hold.
+    """
+    both = pairs.join(sets.withColumnRenamed("held", "a"), "node").join(sets.select(F.col("node").alias("top"), F.col("held").alias("b")), "top")
+    held = both.select("node", "top", "a", "b").mapInArrow(_held(least), "node long, near array<long>, far array<int>")
+    return held.mapInArrow(_nearest_forests(), "node long, top long")
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(doc_id, node, component_id): texts linked by a similarity of ``least`` or more share a component."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text")).mapInArrow(_wide_prints(width), "doc_id long, hi long, lo long, sketch array<int>")
-    prints = stage(rows.withColumn("node", F.xxhash64("hi", "lo")), "similar")
-    fps = stage(prints.groupBy("node", "hi", "lo").agg(F.min("doc_id").alias("least")), "similar-distinct")
-    edges = stage(wide_links(fps.select("hi", "lo"), distance, block).distinct(), "similar-links")
-    ends = edges.select("node").unionAll(edges.select("top")).distinct()
-    sketches = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
-    both = edges.join(sketches.withColumnRenamed("sketch", "_a"), "node").join(sketches.select(F.col("node").alias("top"), F.col("sketch").alias("_b")), "top")
-    # only links that hold are thinned: a forest of unverified ones may lose those that hold
-    held = both.where(similarity("_a", "_b") >= least).select("node", F.array("top").alias("near"), F.array(F.lit(0)).alias("far"))
-    tops = components(held.mapInArrow(_nearest_forests(), "node long, top long"))
-    marked = fps.join(tops.select("node", F.col("top").alias("_top")), "node", "left").withColumn("_top", F.coalesce("_top", "node"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text"))
+    common = spark.sparkContext.broadcast(common_shingles(docs, width))
+    prints = stage(rows.mapInArrow(_prefixes(width, least, common), "doc_id long, node long, n int, keys array<long>"), "similar")
+    fps = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    shared = stage(shared_keys(fps), "similar-keys")
+    pairs = stage(first_candidates(shared, least), "similar-pairs")
+    many = shared.where(F.size("held") > FEW).select(F.explode("held.node").alias("node"))
+    ends = pairs.select("node").unionAll(pairs.select(F.col("top").alias("node"))).unionAll(many).distinct()
+    # one text of each node among the ends; equal sets of shingles are equal nodes
+    texts = rows.mapInArrow(_text_nodes(width), "node long, _text binary").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    sets = stage(texts.mapInArrow(_sets(width), "node long, held binary"), "similar-sets")
+    edges = stage(verified(pairs, sets, least), "similar-links")
+    tops = components(edges)
+    if not many.isEmpty():
+        more = stage(verified(other_candidates(shared, tops, least, block), sets, least), "similar-more")
+        tops = components(tops.unionAll(more))
+        release(spark, more)
+    release(spark, shared, pairs, sets, edges)
+    least_of = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    marked = least_of.join(tops.select("node", F.col("top").alias("_top")), "node", "left").withColumn("_top", F.coalesce("_top", "node"))
     ids = marked.groupBy("_top").agg(F.min("least").alias("component_id"))
     found = stage(prints.select("doc_id", "node").join(marked.join(ids, "_top").select("node", "component_id"), "node").select("doc_id", "node", "component_id"), "similar-found")
-    release(spark, prints, fps, edges)
+    release(spark, prints)
     return found
 
 
