@@ -15,7 +15,7 @@ these forests, written to the shared folder after each round.
 ``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 4 bits of 64
 would mostly miss. Its candidates come from prefix filtering, which misses none: with the shingles in one order for all texts,
 two such sets share a member among the first n - ceil(0.8 n) + 1 of each. Shingles known to be common come last in that order.
-Lengths and places in the prefixes rule out most pairs that meet; the others are verified. The first round takes all candidates of
+Lengths and places in the prefixes rule out most pairs that meet; the others are verified on the complete sets of both texts. The first round takes all candidates of
 keys of few texts and one partner of each text at the others, the second those that lie in different components still.
 Of the links that hold, each task keeps a spanning forest.
 
@@ -43,8 +43,6 @@ BLOCK = 512
 COMMON = 200_000
 #: Of keys with more texts, the first round of ``similar`` takes one partner for each text.
 FEW = 16
-#: Shingle hashes kept of a text to verify a similarity.
-SKETCH = 256
 
 
 def shingles(words: list[bytes], width: int) -> Iterator[bytes]:
@@ -221,6 +219,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, which bounds what is held of long texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def least_overlap(n, m, least: float):
     """How many shingles sets of n and m members share at least if their similarity is ``least`` or more."""
     return np.ceil(least / (1 + least) * (n + m) - 1e-6).astype(np.int64)
@@ -245,7 +250,7 @@ def common_shingles(docs: DataFrame, width: int, most: int = COMMON) -> tuple[np
 
 
 def _prefixes(width: int, least: float, common):
-    """Batches of (doc_id, _text) to those of (doc_id, node, n, keys): the prefix that sets of similarity ``least`` or more share in part."""
+    """Batches of (doc_id, _hash, _text) to those of (doc_id, hash, node, n, keys): the prefix that sets of similarity ``least`` or more share in part."""
 
     def keys(x: np.ndarray) -> np.ndarray:
         h, n = common.value
@@ -256,19 +261,10 @@ def _prefixes(width: int, least: float, common):
         return x[np.lexsort((x, times))[: len(x) - int(np.ceil(least * len(x) - 1e-6)) + 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [shingle_hashes(x.as_py(), width) for x in batch["_text"]]
             columns = [pa.array([text_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([keys(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "node", "n", "keys"])
-
-    return run
-
-
-def _text_nodes(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = [text_node(shingle_hashes(x.as_py(), width)) for x in batch["_text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch["_text"]], ["node", "_text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_hash"], *columns], ["doc_id", "hash", "node", "n", "keys"])
 
     return run
 
@@ -384,29 +380,28 @@ def _nearest_forests(most: int = 500_000):
 
 
 def _sets(width: int):
-    """Batches of (node, _text) to those of (node, held): the text's sorted shingle hashes as bytes."""
+    """Batches of texts to those of (node, held): the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(x.as_py(), width).tobytes() for x in batch["_text"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "held"])
+        for batch in _pieces(batches):
+            sets = [shingle_hashes(x.as_py(), width) for x in batch["_text"]]
+            yield pa.RecordBatch.from_arrays([pa.array([text_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "held"])
 
     return run
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of two sorted sets of hashes, estimated on the ``SKETCH`` smallest members of their union."""
-    union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
-    both = np.intersect1d(a[:SKETCH], b[:SKETCH], assume_unique=True)
-    return len(np.intersect1d(both, union, assume_unique=True)) / max(1, len(union))
+    """The Jaccard similarity of two sorted sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def _held(least: float):
     """Batches of (node, top, a, b) to those of (node, near, far) of the pairs whose sets a and b are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[np.frombuffer(x.as_py(), np.int64) for x in batch[c]] for c in ("a", "b")]
+        for batch in _pieces(batches):
+            sides = ((np.frombuffer(x.as_buffer(), np.int64) for x in batch[c]) for c in ("a", "b"))
             alike = np.array([similarity(a, b) for a, b in zip(*sides, strict=True)])
             ok = alike >= least - 1e-12
             one = pa.array(np.arange(ok.sum() + 1, dtype=np.int32))
@@ -430,17 +425,18 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(doc_id, node, component_id): texts linked by a similarity of ``least`` or more share a component."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    prints = stage(rows.mapInArrow(_prefixes(width, least, common), "doc_id long, node long, n int, keys array<long>"), "similar")
+    prints = stage(rows.mapInArrow(_prefixes(width, least, common), "doc_id long, hash long, node long, n int, keys array<long>"), "similar")
     fps = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     shared = stage(shared_keys(fps), "similar-keys")
     pairs = stage(first_candidates(shared, least), "similar-pairs")
     many = shared.where(F.size("held") > FEW).select(F.explode("held.node").alias("node"))
     ends = pairs.select("node").unionAll(pairs.select(F.col("top").alias("node"))).unionAll(many).distinct()
     # one text of each node among the ends; equal sets of shingles are equal nodes
-    texts = rows.mapInArrow(_text_nodes(width), "node long, _text binary").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    sets = stage(texts.mapInArrow(_sets(width), "node long, held binary"), "similar-sets")
+    hashes = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("hash").alias("_hash"))
+    texts = rows.select("_hash", "_text").join(hashes, "_hash", "left_semi").dropDuplicates(["_hash"])
+    sets = stage(texts.select("_text").mapInArrow(_sets(width), "node long, held binary"), "similar-sets")
     edges = stage(verified(pairs, sets, least), "similar-links")
     tops = components(edges)
     if not many.isEmpty():
