@@ -77,3 +77,9 @@ def lower_words(text: bytes | None) -> list[bytes]:
 def text_bytes(column: str = "text"):
     """The text's UTF-8 bytes, a null text being empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named _0, _1, ..., which leaves all other names free, and the new name of each column."""
+    names = {c: f"_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

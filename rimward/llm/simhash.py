@@ -12,11 +12,12 @@ each task then keeps a spanning forest of the links it saw, so links are never w
 pair and none that joins two groups is lost. Components follow by large-star and small-star steps over
 these forests, written to the shared folder after each round.
 
-``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 4 bits of 64
-would mostly miss. Its candidates come from prefix filtering, which misses none: with the shingles in one order for all texts,
-two such sets share a member among the first n - ceil(0.8 n) + 1 of each. Shingles known to be common come last in that order.
-Lengths and places in the prefixes rule out most pairs that meet; the others are verified on the complete sets of both texts. The first round takes all candidates of
-keys of few texts and one partner of each text at the others, the second those that lie in different components still.
+``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which no Hamming distance of
+fingerprints finds with certainty. Its candidates come from prefix filtering, which misses none: with the shingles in one order
+for all texts, two such sets share a member among the first n - ceil(0.8 n) + 1 of each. Shingles known to be common come last in
+that order. Lengths, places in the prefixes and then the number of shared prefix members rule out most pairs that meet; the others
+are verified on the complete sets of both texts. The texts of a common key are dealt to blocks. The first round takes all candidates of
+keys of few texts and three partners of each text at the others, the second those that lie in different components still.
 Of the links that hold, each task keeps a spanning forest.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; a text of fewer
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimward.llm.common import lower_words, release, stage, text_bytes
+from rimward.llm.common import lower_words, numbered, release, stage, text_bytes
 
 SHINGLE = 4
 DISTANCE = 4
@@ -41,8 +42,10 @@ DISTANCE = 4
 BLOCK = 512
 #: Shingles that are known as common; the others count as rare.
 COMMON = 200_000
-#: Of keys with more texts, the first round of ``similar`` takes one partner for each text.
+#: Of keys with more texts, the first round of ``similar`` takes three partners for each text.
 FEW = 16
+#: One distinct text of so many is read to learn which shingles are common.
+SAMPLE = 16
 
 
 def shingles(words: list[bytes], width: int) -> Iterator[bytes]:
@@ -232,9 +235,9 @@ def least_overlap(n, m, least: float):
 
 
 def common_shingles(docs: DataFrame, width: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts), sorted by hash: shingles that several of a sixteenth of the texts hold, the commonest ``most`` of them.
+    """(hashes, counts), sorted by hash: shingles that several of a sixteenth of the distinct texts hold, the commonest ``most`` of them.
 
-    They only set the order in which prefixes are taken; any order finds the same links.
+    They only set the order in which prefixes are taken and how keys are cut into blocks; any such choice finds the same links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,58 +245,67 @@ def common_shingles(docs: DataFrame, width: int, most: int = COMMON) -> tuple[np
             for x in batch["_text"]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x.as_py(), width))], ["h"])
 
-    found = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select(text_bytes().alias("_text")).mapInArrow(run, "h long")
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(text_bytes().alias("_text"), F.xxhash64("text").alias("_hash"))
+    found = some.dropDuplicates(["_hash"]).select("_text").mapInArrow(run, "h long")
     rows = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).toArrow()
     h, n = (rows[c].to_numpy().astype(np.int64) for c in ("h", "n"))
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def _prefixes(width: int, least: float, common):
-    """Batches of (doc_id, _hash, _text) to those of (doc_id, hash, node, n, keys): the prefix that sets of similarity ``least`` or more share in part."""
+def _prefixes(width: int, least: float, common, block: int):
+    """Batches of (doc_id, _hash, _text) to those of (doc_id, hash, node, n, keys, parts): the prefix that sets of similarity
+    ``least`` or more share in part, and into how many blocks the texts of each key are dealt."""
 
-    def keys(x: np.ndarray) -> np.ndarray:
+    def keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h, n = common.value
         times = np.zeros(len(x), np.int64)
         if len(h):
             at = np.minimum(np.searchsorted(h, x), len(h) - 1)
             times = np.where(h[at] == x, n[at], 0)
-        return x[np.lexsort((x, times))[: len(x) - int(np.ceil(least * len(x) - 1e-6)) + 1]]
+        use = np.lexsort((x, times))[: len(x) - int(np.ceil(least * len(x) - 1e-6)) + 1]
+        return x[use], (-(-SAMPLE * times[use] // block)).clip(1).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             sets = [shingle_hashes(x.as_py(), width) for x in batch["_text"]]
-            columns = [pa.array([text_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([keys(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_hash"], *columns], ["doc_id", "hash", "node", "n", "keys"])
+            prefixes = [keys(x) for x in sets]
+            columns = [pa.array([text_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([k for k, _ in prefixes], pa.list_(pa.int64())), pa.array([p for _, p in prefixes], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_hash"], *columns], ["doc_id", "hash", "node", "n", "keys", "parts"])
 
     return run
 
 
-def shared_keys(fps: DataFrame) -> DataFrame:
-    """(key, held): the prefix members that several texts have, with (n, pos, node) of each, sorted."""
-    tab = fps.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, parts, part, held): the prefix members that several texts have, with (pos, n, node) of each, sorted.
+
+    The texts of a common key are dealt to blocks, by text and key, so that two texts meet in a block of some key or other.
+    """
+    tab = nodes.select("node", "n", F.posexplode(F.arrays_zip("keys", "parts")).alias("pos", "_x")).select(F.col("_x.keys").alias("key"), F.col("_x.parts").alias("parts"), "pos", "n", "node")
+    tab = tab.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "key"), F.col("parts"))).otherwise(0).cast("int"))
     # almost all keys are distinct in a task, so rows move as they are and only then become arrays
-    blocks = tab.repartition("key").groupBy("key").agg(F.collect_list(F.struct("n", "pos", "node")).alias("held"))
-    return blocks.where(F.size("held") > 1).withColumn("held", F.array_sort("held"))
+    blocks = tab.repartition("key", "part").groupBy("key", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("pos", "n", "node")).alias("held"))
+    return blocks.where((F.size("held") > 1) | (F.col("parts") > 1)).withColumn("held", F.array_sort("held"))
 
 
 def _candidates(least: float, few: int = 0):
     """Batches of (held, other) to pairs (node, top) that lengths and places in the prefixes allow to be similar.
 
     Members of a row are those of ``held``, or one of ``held`` and one of ``other``; two of one component, if ``held`` has a
-    field ``top``, need no link. With ``few``, rows of more members give each member's next partner only.
+    field ``top``, need no link. With ``few``, each member of a longer ``held`` gets two partners only: the first one that may
+    be similar, which has the fewest rare shingles, and the one before it.
     """
 
     def columns(rows: pa.ListArray) -> list[tuple[np.ndarray, ...]]:
         flat, ends = rows.flatten(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        names = ("n", "pos", "node", "top") if flat.type.get_field_index("top") >= 0 else ("n", "pos", "node")
+        names = ("pos", "n", "node", "top") if flat.type.get_field_index("top") >= 0 else ("pos", "n", "node")
         columns = [flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
         return [tuple(c[a:b] for c in columns) for a, b in zip(np.r_[0, ends[:-1]].astype(int), ends, strict=True)]
 
     def partners(one: tuple, others: tuple) -> np.ndarray:
-        n, pos = others[:2]
-        ok = (least * n <= one[0] + 1e-6) & (least * one[0] <= n + 1e-6)
-        ok &= np.minimum(one[0] - one[1], n - pos) >= least_overlap(one[0], n, least)
+        pos, n = others[:2]
+        ok = (least * n <= one[1] + 1e-6) & (least * one[1] <= n + 1e-6)
+        ok &= np.minimum(one[1] - one[0], n - pos) >= least_overlap(one[1], n, least)
         ok &= others[2] != one[2]
         return others[2][ok & (others[3] != one[3])] if len(one) > 3 else others[2][ok]
 
@@ -305,42 +317,78 @@ def _candidates(least: float, few: int = 0):
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "top"])
 
-        for batch in batches:
+        for batch in _pieces(batches):
             for held, other in zip(columns(batch["held"]), columns(batch["other"]), strict=True):
                 size = len(held[0])
                 for i in range(size):
                     one = tuple(int(c[i]) for c in held)
-                    found = partners(one, other if len(other[0]) else tuple(c[i + 1 :] for c in held))
-                    seen.update((max(one[2], x), min(one[2], x)) for x in (found[:1] if few and size > few else found).tolist())
-                    if len(seen) > 200_000:
+                    found = partners(one, other if len(other[0]) else tuple(c[:i] for c in held))
+                    if few and size > few and len(found) > 2:
+                        found = found[[0, -1]]
+                    seen.update((max(one[2], x), min(one[2], x)) for x in found.tolist())
+                    if len(seen) > 100_000:
                         yield out()
         yield out()
 
     return run
 
 
+PAIRS = "node long, top long"
+
+
 def first_candidates(shared: DataFrame, least: float) -> DataFrame:
-    """(node, top): all candidates of keys of few texts, and one partner of each text at the others."""
-    rows = shared.select("held", F.lit(None).cast(shared.schema["held"].dataType).alias("other"))
-    return rows.mapInArrow(_candidates(least, FEW), "node long, top long").distinct()
+    """(node, top): all candidates of keys of few texts; of other keys two partners for each text in its block, and the
+    one text of the whole key that has the fewest rare shingles, which is the centre of a group of edited copies."""
+    none = F.lit(None).cast(shared.schema["held"].dataType)
+    inside = shared.select("held", none.alias("other")).mapInArrow(_candidates(least, FEW), PAIRS)
+    cut = shared.where("parts > 1").select("key", "held")
+    heads = cut.groupBy("key").agg(F.min(F.get("held", F.lit(0))).alias("_head"))
+    across = cut.join(heads, "key").select("held", F.array("_head").cast(shared.schema["held"].dataType).alias("other")).mapInArrow(_candidates(least), PAIRS)
+    return inside.unionAll(across).distinct()
 
 
 def other_candidates(shared: DataFrame, tops: DataFrame, least: float, block: int) -> DataFrame:
     """(node, top): all candidates of keys of many texts that lie in different components so far.
 
-    Such a key is cut into blocks, and each two blocks of a key meet in a row.
+    At each such key, the texts outside its largest component are dealt to blocks and each block meets all blocks of the key:
+    what is compared grows with the texts that are still apart, not with the square of a group.
     """
-    rows = shared.where(F.size("held") > FEW).select("key", F.explode("held").alias("_x")).select("key", "_x.n", "_x.pos", "_x.node")
+    rows = shared.where((F.size("held") > FEW) | (F.col("parts") > 1)).select("key", "part", F.explode("held").alias("_x")).select("key", "part", "_x.pos", "_x.n", "_x.node")
     rows = rows.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    whole = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "pos", "node", "top"))).alias("_all"), F.min("top").alias("_a"), F.max("top").alias("_b")).where("_a < _b")
-    cuts = F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / block).cast("int")))
-    cut = whole.select("_all", cuts.alias("_i")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_i"))))
-    part = lambda i: F.slice("_all", F.col(i) * block + 1, block)
-    # blocks follow each other by length: those too far apart hold no pair
-    near = F.element_at(part("_j"), -1)["n"] + 1e-6 >= least * F.element_at(part("_i"), 1)["n"]
-    met = cut.where(near).select(part("_i").alias("held"), F.when(F.col("_i") > F.col("_j"), part("_j")).alias("other"))
+    sizes = rows.groupBy("key", "top").agg(F.count(F.lit(1)).alias("_n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("_n", "top")).alias("_m"), F.sum("_n").alias("_all")).where("_all > _m._n").select("key", F.col("_m.top").alias("_main"), F.ceil((F.col("_all") - F.col("_m._n")) / block).alias("_parts"))
+    mixed = rows.join(main, "key")
+    members = F.collect_list(F.struct("pos", "n", "node", "top"))
+    whole = mixed.groupBy("key", "part").agg(members.alias("other"))
+    asked = mixed.where("top <> _main").groupBy("key", F.pmod(F.xxhash64("node"), F.col("_parts")).alias("_ask")).agg(members.alias("held"))
+    met = asked.join(whole, "key").select("held", "other")
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count that is kept: work does not follow bytes
-    return met.repartition(parts, F.xxhash64("held")).mapInArrow(_candidates(least), "node long, top long").distinct()
+    return met.repartition(parts, F.xxhash64("held", "other")).mapInArrow(_candidates(least), PAIRS).distinct()
+
+
+def _plausible(least: float):
+    """Batches of (node, top, n, m, a, b), a and b being prefixes of sets of n and m members, to the pairs (node, top) that may be similar.
+
+    The set whose prefix ends first in the order shares no more than the prefixes share and its own rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            a, b = ([x.values.to_numpy() for x in batch[c]] for c in ("a", "b"))
+            n, m = (batch[c].to_numpy().astype(np.int64) for c in ("n", "m"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+            rest = np.maximum(n - [len(x) for x in a], m - [len(x) for x in b])
+            ok = pa.array(both + rest >= least_overlap(n, m, least))
+            yield pa.RecordBatch.from_arrays([batch["node"].filter(ok), batch["top"].filter(ok)], ["node", "top"])
+
+    return run
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose prefixes share enough; few others are left, so few whole sets have to move."""
+    own = nodes.select("node", "n", F.col("keys").alias("a"))
+    other = nodes.select(F.col("node").alias("top"), F.col("n").alias("m"), F.col("keys").alias("b"))
+    return pairs.join(own, "node").join(other, "top").select("node", "top", "n", "m", "a", "b").mapInArrow(_plausible(least), PAIRS)
 
 
 def _nearest_forests(most: int = 500_000):
@@ -422,42 +470,63 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return held.mapInArrow(_nearest_forests(), "node long, top long")
 
 
-def similar(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(doc_id, node, component_id): texts linked by a similarity of ``least`` or more share a component."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    prints = stage(rows.mapInArrow(_prefixes(width, least, common), "doc_id long, hash long, node long, n int, keys array<long>"), "similar")
-    fps = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    shared = stage(shared_keys(fps), "similar-keys")
-    pairs = stage(first_candidates(shared, least), "similar-pairs")
-    many = shared.where(F.size("held") > FEW).select(F.explode("held.node").alias("node"))
-    ends = pairs.select("node").unionAll(pairs.select(F.col("top").alias("node"))).unionAll(many).distinct()
+def _links_of(rows: DataFrame, prints: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, least: float) -> DataFrame:
+    """The staged links (node, top) among the candidates, thinned to forests after their whole sets are compared."""
+    spark = rows.sparkSession
+    pairs = stage(plausible(candidates, nodes, least), "similar-pairs")
+    ends = pairs.select("node").unionAll(pairs.select(F.col("top").alias("node"))).distinct()
     # one text of each node among the ends; equal sets of shingles are equal nodes
     hashes = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("hash").alias("_hash"))
     texts = rows.select("_hash", "_text").join(hashes, "_hash", "left_semi").dropDuplicates(["_hash"])
     sets = stage(texts.select("_text").mapInArrow(_sets(width), "node long, held binary"), "similar-sets")
     edges = stage(verified(pairs, sets, least), "similar-links")
+    release(spark, pairs, sets)
+    return edges
+
+
+def similar_nodes(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, node) of each row, hash and node being those of its text and of its set of shingles, and (node, top) of
+    the nodes that are linked by a similarity of ``least`` or more to a smaller one, top being the smallest they reach."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    common = spark.sparkContext.broadcast(common_shingles(docs, width))
+    found = stage(rows.mapInArrow(_prefixes(width, least, common, block), "doc_id long, hash long, node long, n int, keys array<long>, parts array<int>"), "similar")
+    prints = found.select("doc_id", "hash", "node")
+    nodes = stage(found.select("node", "n", "keys", "parts").dropDuplicates(["node"]), "similar-nodes")
+    shared = stage(shared_keys(nodes), "similar-keys")
+    edges = _links_of(rows, prints, nodes, first_candidates(shared, least), width, least)
     tops = components(edges)
-    if not many.isEmpty():
-        more = stage(verified(other_candidates(shared, tops, least, block), sets, least), "similar-more")
+    if not shared.where((F.size("held") > FEW) | (F.col("parts") > 1)).isEmpty():
+        more = _links_of(rows, prints, nodes, other_candidates(shared, tops, least, block), width, least)
         tops = components(tops.unionAll(more))
         release(spark, more)
-    release(spark, shared, pairs, sets, edges)
+    release(spark, shared, edges, nodes)
+    return prints, tops
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(doc_id, node, component_id): texts linked by a similarity of ``least`` or more share a component."""
+    prints, tops = similar_nodes(docs, width, least, block)
     least_of = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
     marked = least_of.join(tops.select("node", F.col("top").alias("_top")), "node", "left").withColumn("_top", F.coalesce("_top", "node"))
     ids = marked.groupBy("_top").agg(F.min("least").alias("component_id"))
-    found = stage(prints.select("doc_id", "node").join(marked.join(ids, "_top").select("node", "component_id"), "node").select("doc_id", "node", "component_id"), "similar-found")
-    release(spark, prints)
-    return found
+    return prints.select("doc_id", "node").join(marked.join(ids, "_top").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id, the first by text
-    if it is repeated; of a component without ids one row for each text."""
-    # null ids as keys that are equal, so that the join and the window share one shuffle
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_rimward_id"), F.col("doc_id").isNull().alias("_rimward_null")]
-    found = similar(docs, width, least).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*keys).distinct()
-    kept = docs.select("*", *keys).join(found, ["_rimward_id", "_rimward_null"], "left_semi")
-    order = Window.partitionBy("_rimward_id", "_rimward_null", F.when(F.col("_rimward_null"), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_rimward_no", F.row_number().over(order)).where("_rimward_no = 1").select(*docs.columns)
+    """``docs`` without near-duplicates: of each component the row with the smallest doc_id, null last, then the smallest hash
+    of its text; of rows that are equal in both, the one with the smallest hash of all columns. So each component keeps one row, whatever its ids."""
+    prints, tops = similar_nodes(docs, width, least)
+    first = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash")).alias("_first"))
+    first = first.join(tops, "node", "left").groupBy(F.coalesce("top", "node").alias("top")).agg(F.min("_first").alias("_first"))
+    chosen = stage(first.select("_first.*"), "similar-chosen")
+    keys = chosen.columns
+    repeats = prints.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash").groupBy(*keys).count().where("count > 1").drop("count")
+    repeats = stage(chosen.join(repeats, keys, "left_semi"), "similar-repeats")
+    plain, of = numbered(docs)
+    keyed = plain.select("*", F.col(of["doc_id"]).isNull().alias("none"), F.coalesce(F.col(of["doc_id"]).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_bytes(of["text"])).alias("hash"))
+    kept = keyed.join(chosen.join(repeats, keys, "left_anti"), keys, "left_semi").select(*plain.columns)
+    if not repeats.isEmpty():
+        again = keyed.join(repeats, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*plain.columns), F.xxhash64(*plain.columns)).alias("row"))
+        kept = kept.unionByName(again.select("row.*"))
+    return kept.toDF(*docs.columns)

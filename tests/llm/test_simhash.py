@@ -201,14 +201,52 @@ def test_long_texts_are_decided_exactly(spark):
     assert len({got[i] == got[i + 1] for i in range(0, 60, 2)}) == 2
 
 
+def test_keep_one_loses_no_text_to_null_and_repeated_ids(spark):
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 60, 10**6) for _ in range(4))
+    rows = [(1, a), (1, b), (None, a + " more"), (None, c), (None, c), (None, d), (2, d), (1, a), (3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], DOCS).withColumn("_rimward_id", F.lit(5)).withColumn("_rimward_hash", F.lit("x")).repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(1, a), (1, b), (None, c), (2, d), (3, None)])
+
+
+def test_stars_of_edited_copies_at_common_shingles(spark):
+    """Copies that are similar to their centre only, so many that every shingle of it is common and dealt to blocks."""
+    rng = random.Random(22)
+    rows = []
+    for _ in range(2):
+        base = words(rng, 70, 10**6).split()
+        rows.append(" ".join(base))
+        for _ in range(150):
+            copy = list(base)
+            for i in rng.sample(range(4, 66), 2):
+                copy[i] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rows += [words(rng, 70, 10**6) for _ in range(50)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], DOCS).repartition(4)
+    roots = brute_similar(rows)
+    least = least_ids(range(len(rows)), roots)
+    for block in (8, 512):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, block=block).collect()}
+        assert got == {i: least[root] for i, root in enumerate(roots)}
+
+
 def test_keep_one_and_empty(spark):
     docs = awkward(spark)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     rows = awkward_rows()
     least = least_ids([r[0] for r in rows], brute_similar([r[1] for r in rows]))
-    found = kept.collect()
-    assert {r["doc_id"] for r in found if r["doc_id"] is not None} == set(least.values())
-    assert len({r["doc_id"] for r in found}) == len(found)
+    found = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    want = collections.Counter()
+    first = {}
+    for r, root in zip(rows, brute_similar([r[1] for r in rows]), strict=True):
+        first.setdefault(root, []).append(r)
+    for group in first.values():  # one row of each component: that with the smallest id, of several texts with it any
+        least_id = min((r[0] is None, r[0] or 0) for r in group)
+        some = [(r[0], r[1]) for r in group if (r[0] is None, r[0] or 0) == least_id and (r[0], r[1]) in found]
+        want[some[0]] += 1
+    assert found == want and set(least.values()) - {None} <= {i for i, _ in found}
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
