@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rimward.llm.common import WORD, stage
+from rimward.llm.common import WORD, numbered, stage
 
 #: Slices of the key space in each source, as a power of two.
 SLICE_BITS = 10
@@ -82,19 +82,20 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most_epochs: float = 3.0, seed
 def materialise(docs: DataFrame, weights=(5.0, 2.0, 1.0), most_epochs: float = 3.0, seed: int = 9, n_chars_col: str | None = "n_chars") -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole taking of a document, and
     for a partial taking a row whose text ends after the last word taken. n_chars follows the text."""
-    plan = mix(docs, weights, most_epochs, seed).select(F.col("doc_id").alias("_id"), F.col("mix_key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    same = Window.partitionBy("_id", "_key").orderBy("_taken")
-    plan = plan.withColumn("_no", F.row_number().over(same)).where("_taken > 0")
-    keyed = docs.select("*", docs["doc_id"].alias("_did"), random_key(docs, seed, "doc_id", "text", "source").alias("_dkey"))
-    keyed = keyed.withColumn("_dno", F.row_number().over(Window.partitionBy("_did", "_dkey").orderBy(F.lit(0))))
-    both = keyed.join(plan, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dkey") == F.col("_key")) & (F.col("_dno") == F.col("_no")))
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    part = (F.col("_taken") - whole * F.col("_size")).cast("int")
+    plain, of = numbered(docs)
+    columns = dict(id_col=of["doc_id"], text_col=of["text"], source_col=of["source"])
+    plan = mix(plain, weights, most_epochs, seed, **columns).select(F.col("doc_id").alias("id"), F.col("mix_key").alias("key"), "size", "taken")
+    plan = plan.withColumn("no", F.row_number().over(Window.partitionBy("id", "key").orderBy("taken"))).where("taken > 0")
+    keyed = plain.select("*", random_key(plain, seed, **columns).alias("own_key"))
+    keyed = keyed.withColumn("own_no", F.row_number().over(Window.partitionBy(of["doc_id"], "own_key").orderBy(F.lit(0))))
+    both = keyed.join(plan, F.col(of["doc_id"]).eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")) & (F.col("own_no") == F.col("no")))
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") - whole * F.col("size")).cast("int")
     takes = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    copies = both.withColumn("_cut", F.explode(takes))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), 1, F.greatest(F.col("_cut"), F.lit(1))), "")
-    text = F.when(F.col("_cut") > 0, head).otherwise(F.col("text"))
-    out = copies.withColumn("text", text)
-    if n_chars_col and n_chars_col in docs.columns:
-        out = out.withColumn(n_chars_col, F.when(F.col("_cut") > 0, F.char_length("text").cast("long")).otherwise(F.col(n_chars_col)))
-    return out.select(*docs.columns)
+    copies = both.withColumn("cut", F.explode(takes))
+    head = F.array_join(F.slice(F.regexp_extract_all(of["text"], F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), 1, F.greatest(F.col("cut"), F.lit(1))), "")
+    out = copies.withColumn(of["text"], F.when(F.col("cut") > 0, head).otherwise(F.col(of["text"])))
+    if n_chars_col and n_chars_col in of:
+        length = of[n_chars_col]
+        out = out.withColumn(length, F.when(F.col("cut") > 0, F.char_length(of["text"]).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(length)))
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -60,6 +60,8 @@ def test_each_source_takes_whole_epochs_and_one_cut(spark):
 
 def test_materialise_holds_the_words_taken(spark):
     docs = awkward(spark)
+    for name in ("_id", "_key", "_taken", "_no", "_cut", "size", "key", "taken", "cut", "_0", "_1"):
+        docs = docs.withColumn(name, F.lit("clash"))
     taken = collections.Counter()
     for r in mixing.mix(docs).collect():
         taken[r["doc_id"]] += r["taken"]
