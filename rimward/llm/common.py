@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    A folder of this machine is used only if the setting is absent, as in tests.
+    A folder of this machine is used only if the setting is absent and Spark runs on this machine alone, as in tests.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark, "_rimward_shared", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
             found = spark._rimward_shared = tempfile.mkdtemp(prefix="rimward-")
     return found.rstrip("/")
 
@@ -47,6 +49,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of a batch that goes to a Python worker while a table is staged. A task holds a few batches on both sides.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
@@ -54,7 +61,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     read = spark.read.schema(df.schema).parquet(path)
     read._staged_at = path
     return read

@@ -391,42 +391,6 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(own, "node").join(other, "top").select("node", "top", "n", "m", "a", "b").mapInArrow(_plausible(least), PAIRS)
 
 
-def _nearest_forests(most: int = 500_000):
-    """Batches of (node, near, far) to the edges (node, top) of a minimum spanning forest of what the task saw."""
-
-    def forest(node, top, far):
-        kept, seen = [], Forest()
-        pairs = np.unique(np.rec.fromarrays([far, node, top], names="far,node,top"))
-        for d, a, b in pairs.tolist():
-            if seen.root(a) != seen.root(b):
-                seen.join(a, b)
-                kept.append((a, b, d))
-        return [np.array(c, np.int64) for c in zip(*kept, strict=True)] if kept else [np.zeros(0, np.int64)] * 3
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def edges():
-            return forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-        for batch in batches:
-            near, far = batch["near"], batch["far"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            times = near.value_lengths().to_numpy(zero_copy_only=False)
-            held.append((np.repeat(batch["node"].to_numpy(), times), near.flatten().to_numpy(zero_copy_only=False), far))
-            size += len(far)
-            if size > most:
-                node, top, far = edges()
-                held, size = [(node, top, far)], len(node)
-                if size > most // 2:  # still many: they go out and a new forest begins
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], ["node", "top"])
-                    held, size = [], 0
-        if held:
-            node, top, _ = edges()
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], ["node", "top"])
-
-    return run
-
-
 def _sets(width: int):
     """Batches of texts to those of (node, held): the sorted shingle hashes as bytes."""
 
@@ -444,18 +408,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _held(least: float):
-    """Batches of (node, top, a, b) to those of (node, near, far) of the pairs whose sets a and b are similar enough."""
+def _held(least: float, most: int = 200_000):
+    """Batches of (node, top, a, b) to a spanning forest (node, top) of the pairs whose sets a and b are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for batch in _pieces(batches):
             sides = ((np.frombuffer(x.as_buffer(), np.int64) for x in batch[c]) for c in ("a", "b"))
-            alike = np.array([similarity(a, b) for a, b in zip(*sides, strict=True)])
-            ok = alike >= least - 1e-12
-            one = pa.array(np.arange(ok.sum() + 1, dtype=np.int32))
-            near = pa.ListArray.from_arrays(one, pa.array(batch["top"].to_numpy()[ok]))
-            far = pa.ListArray.from_arrays(one, pa.array(np.round((1 - alike[ok]) * 1000).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(batch["node"].to_numpy()[ok]), near, far], ["node", "near", "far"])
+            for x, y, a, b in zip(batch["node"].to_pylist(), batch["top"].to_pylist(), *sides, strict=True):
+                if similarity(a, b) >= least - 1e-12:
+                    forest.join(x, y)
+            if len(forest.up) > most:
+                yield forest.edges()
+                forest = Forest()
+        yield forest.edges()
 
     return run
 
@@ -466,8 +432,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     Links are thinned only after they are verified: a forest of candidates may lose those that hold.
     """
     both = pairs.join(sets.withColumnRenamed("held", "a"), "node").join(sets.select(F.col("node").alias("top"), F.col("held").alias("b")), "top")
-    held = both.select("node", "top", "a", "b").mapInArrow(_held(least), "node long, near array<long>, far array<int>")
-    return held.mapInArrow(_nearest_forests(), "node long, top long")
+    return both.select("node", "top", "a", "b").mapInArrow(_held(least), PAIRS)
 
 
 def _links_of(rows: DataFrame, prints: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, least: float) -> DataFrame:

@@ -135,8 +135,7 @@ def test_forests_keep_what_is_connected():
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    pairs = [(int(a), int(b), int(d)) for a, b, d in zip(rng.integers(0, 90, 400), rng.integers(100, 190, 400), rng.integers(0, 27, 400), strict=True)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([[b]]), pa.array([[d]])], ["node", "near", "far"]) for a, b, d in pairs]
+    pairs = [(int(a), int(b)) for a, b in zip(rng.integers(0, 90, 400), rng.integers(100, 190, 400), strict=True)]
 
     def tops(edges):
         forest = simhash.Forest()
@@ -144,10 +143,14 @@ def test_forests_keep_what_is_connected():
             forest.join(a, b)
         return {x: forest.root(x) for x in list(forest.up)}
 
+    same, other = (np.array(x, np.int64).tobytes() for x in ([1, 2, 3, 4, 5], [6, 7, 8, 9, 10]))
     for most in (10, 100, 1000):
-        out = [e for batch in simhash._nearest_forests(most)(iter(batches)) for e in zip(batch["node"].to_pylist(), batch["top"].to_pylist(), strict=True)]
-        assert tops(out) == tops((a, b) for a, b, _ in pairs)
-        assert set(out) <= {(a, b) for a, b, _ in pairs}
+        out = []
+        links = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([[b]])], ["fp", "near"]) for a, b in pairs]
+        found = [pa.RecordBatch.from_arrays([pa.array([a, a]), pa.array([b, 500 + b]), pa.array([same, same]), pa.array([same, other])], ["node", "top", "a", "b"]) for a, b in pairs]
+        for batches in (simhash._forests(most)(iter(links)), simhash._held(0.8, most)(iter(found))):
+            out = [e for batch in batches for e in zip(batch["node"].to_pylist(), batch["top"].to_pylist(), strict=True)]
+            assert tops(out) == tops(pairs)
 
 
 def test_links_are_verified_before_they_are_thinned(spark):
