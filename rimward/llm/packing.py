@@ -37,45 +37,26 @@ MIN_PIECE = 64
 CLOSE_ID = 1
 
 
+#: Strings of special tokens of the vocabulary, with their ids.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 class Encoder:
     """Ids of the byte-level BPE, as little-endian unsigned 16-bit bytes.
 
-    The pattern of this vocabulary never joins text across a blank that stands between two other
-    characters, so each stretch from such a blank to the next is encoded alone and its ids kept in a table.
-    Texts with other runs of white space are encoded whole. Strings of special tokens are ordinary text.
+    The string of a special token is that token, and what stands before and after it is encoded apart.
     """
 
-    KEPT = 400_000
-
     def __init__(self, vocabulary: str = "byte_bpe_50k.tiktoken"):
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode_ordinary = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.kept: dict[str, bytes] = {}
-
-    def _new(self, part: str) -> bytes:
-        return np.array(self.encode_ordinary(part), dtype="<u2").tobytes()
+        self.to_numpy = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL).encode_to_numpy
 
     def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) == 1 or not all(parts):
-            return self._new(text)
-        kept, out = self.kept, []
-        if len(kept) > self.KEPT:
-            kept.clear()
-        for i, part in enumerate(parts):
-            ids = kept.get(part) if i else None
-            if ids is None:
-                if (i and part[0].isspace()) or part[-1].isspace():
-                    return self._new(text)
-                ids = self._new(" " + part if i else part)
-                if i:
-                    kept[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.to_numpy(text, allowed_special=set(SPECIAL), disallowed_special=()).astype("<u2").tobytes()
 
 
 TOKENS = "doc_id long, source string, doc_tokens long, ids binary, lane int, lane_start long"

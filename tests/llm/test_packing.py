@@ -6,18 +6,16 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from rimward.llm import packing
-from tests.llm.helpers import awkward, awkward_rows, empty
+from tests.llm.helpers import DOCS, awkward, awkward_rows, empty
 
 
 def reference():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizers_library():
     tokenizer, encoder = reference(), packing.Encoder()
-    texts = [r[1] or "" for r in awkward_rows()] + ["  two  spaces ", "a \n b", "\n\nx\n y", "tab\tsep  x", "x y z", "don't we'll I'm", "a\x1cb c\x1d d", " <|endoftext|> end", "12 345 a1b2 ..?! ,", "é́ x"]
+    texts = [r[1] or "" for r in awkward_rows()] + ["  two  spaces ", "a \n b", "\n\nx\n y", "tab\tsep  x", "x y z", "don't we'll I'm", "a\x1cb c\x1d d", " <|endoftext|> end", "hi <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|>  two", "<|endoftext", "y" * 300 + " " + "z" * 300, "12 345 a1b2 ..?! ,", "é́ x"]
     for text in texts + texts:
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
@@ -55,10 +53,12 @@ def check(rows, texts, window=2048, lots=1):
 
 
 def test_pack_in_one_and_in_many_lots(spark):
-    texts = [(r[0], r[1]) for r in awkward_rows()]
+    special = (3000, "one <|endoftext|> two<|endoftext|>", "en", "a", 0)
+    texts = [(r[0], r[1]) for r in (*awkward_rows(), special)]
+    docs = awkward(spark).unionByName(spark.createDataFrame([special], DOCS))
     for lot_tokens in (1 << 20, 5000):
-        check(packing.pack(awkward(spark), lot_tokens=lot_tokens).collect(), texts)
-    check(packing.pack(awkward(spark), weights={"a": 1, "b": 5}, lot_tokens=7000).collect(), texts)
+        check(packing.pack(docs, lot_tokens=lot_tokens).collect(), texts)
+    check(packing.pack(docs, weights={"a": 1, "b": 5}, lot_tokens=7000).collect(), texts)
 
 
 def test_windows_hold_the_target_proportions(spark):
