@@ -6,6 +6,7 @@ is brute force: it joins all points with all and shares no plan with the queries
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ from rimward.operators import lof as L
 from rimward.operators import microcluster as MC
 from rimward.operators import partition as P
 from rimward.operators import rectangles as R
+from rimward.operators.caching import keep, release
 from rimward.plans import strategies as S
-from rimward.sources.points import as_line, points_from, vectors_from
+from rimward.sources.points import as_line, points_from, points_of_lines, topn_lines as lines_of_top, vectors_from
 
 CONFIG = LofConfig()
 KN = CONFIG.k
@@ -32,7 +34,12 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            release()  # what the query before kept
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -58,13 +65,13 @@ def branded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.knn_grid(parts(spark, sf_dir), KN, cell_points=CONFIG.cell_points)
+    return keep(K.knn_grid(parts(spark, sf_dir), KN, cell_points=CONFIG.cell_points))
 
 
 def clusters(spark: SparkSession, sf_dir: str):
-    centroids = MC.centroids_by(branded(spark, sf_dir), "brand").persist()
-    assigned = MC.assign(parts(spark, sf_dir), centroids).persist()
-    return assigned, MC.stats(assigned, centroids).persist()
+    centroids = MC.centroids_by(branded(spark, sf_dir), "brand")
+    assigned = keep(MC.assign(parts(spark, sf_dir), centroids))
+    return assigned, keep(MC.stats(assigned, centroids))
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +114,7 @@ lo AS (SELECT mc_id, min(lo) AS v FROM (SELECT a.mc_id, a.lo, (SELECT sum(b.n) F
 hi AS (SELECT mc_id, min(hi) AS v FROM (SELECT a.mc_id, a.hi, (SELECT sum(b.n) FROM nr b WHERE b.mc_id = a.mc_id AND b.hi <= a.hi) AS s FROM nr a) WHERE s >= {KN} GROUP BY mc_id),
 kb AS (SELECT st.mc_id, coalesce(round(lo.v, 6), 0) AS kd_lo, round(hi.v, 6) AS kd_hi FROM st LEFT JOIN lo ON lo.mc_id = st.mc_id LEFT JOIN hi ON hi.mc_id = st.mc_id)"""
 LOB = """ex AS (SELECT pr.mc_id, pr.other, k.kd_hi, greatest(pr.d - pr.radius - pr.o_radius, 0) AS lo, pr.d + pr.radius + pr.o_radius AS hi, o.kd_lo AS o_lo, o.kd_hi AS o_hi FROM pr JOIN kb k ON k.mc_id = pr.mc_id JOIN kb o ON o.mc_id = pr.other
- UNION ALL SELECT st.mc_id, st.mc_id, k.kd_hi, 0, 2 * st.radius, k.kd_lo, k.kd_hi FROM st JOIN kb k ON k.mc_id = st.mc_id),
+ UNION ALL SELECT st.mc_id, st.mc_id, k.kd_hi, 0, 2 * st.radius, k.kd_lo, k.kd_hi FROM st JOIN kb k ON k.mc_id = st.mc_id WHERE st.n > 1),
 nb AS (SELECT * FROM ex WHERE lo <= kd_hi + 0.000001),
 rc AS (SELECT mc_id, min(greatest(lo, o_lo)) AS r_lo, max(greatest(hi, o_hi)) AS r_hi FROM nb GROUP BY mc_id),
 ar AS (SELECT nb.mc_id, min(rc.r_lo) AS n_lo, max(rc.r_hi) AS n_hi FROM nb JOIN rc ON rc.mc_id = nb.other GROUP BY nb.mc_id),
@@ -200,12 +207,12 @@ def nn_dist(spark, sf_dir):
 
 @query(_with(PTS, _knn(), LOF, select="SELECT id, nid, round(reach, 6) AS reach FROM reach"))
 def reach_dist(spark, sf_dir):
-    return L.reach_dist(part_knn(spark, sf_dir).persist()).select("id", "nid", F.round("reach", 6).alias("reach"))
+    return L.reach_dist(part_knn(spark, sf_dir)).select("id", "nid", F.round("reach", 6).alias("reach"))
 
 
 @query(_with(PTS, _knn(), LOF, select="SELECT id, round(lrd, 6) AS lrd FROM lrd"))
 def lrd(spark, sf_dir):
-    return L.lrd(L.reach_dist(part_knn(spark, sf_dir).persist()), KN).select("id", F.round("lrd", 6).alias("lrd"))
+    return L.lrd(L.reach_dist(part_knn(spark, sf_dir)), KN).select("id", F.round("lrd", 6).alias("lrd"))
 
 
 BND = "nn AS (SELECT id, min(dist) AS d FROM knn GROUP BY id), bd AS (SELECT r.id, CASE WHEN min(nn.d) > 0 THEN max(r.reach) / min(nn.d) END AS bound FROM reach r JOIN nn ON nn.id = r.nid GROUP BY r.id)"
@@ -213,12 +220,12 @@ BND = "nn AS (SELECT id, min(dist) AS d FROM knn GROUP BY id), bd AS (SELECT r.i
 
 @query(_with(PTS, _knn(), LOF, BND, select="SELECT id, round(bound, 6) AS bound FROM bd"))
 def point_prune_bound(spark, sf_dir):
-    return L.point_bound(part_knn(spark, sf_dir).persist()).select("id", F.round("bound", 6).alias("bound"))
+    return L.point_bound(part_knn(spark, sf_dir)).select("id", F.round("bound", 6).alias("bound"))
 
 
 @query(_with(PTS, _knn(), LOF, BND, select="SELECT id FROM bd WHERE bound IS NULL OR round(bound, 6) > 2.5"))
 def point_prune_survivors(spark, sf_dir):
-    return L.point_bound(part_knn(spark, sf_dir).persist()).where("bound is null or round(bound, 6) > 2.5").select("id")
+    return L.point_bound(part_knn(spark, sf_dir)).where("bound is null or round(bound, 6) > 2.5").select("id")
 
 
 # --- partitions ----------------------------------------------------------------------------------
@@ -246,12 +253,12 @@ def bucket_stats(spark, sf_dir):
 
 @query(_with(PTS, BKT, select="SELECT a.bucket, b.bucket AS other FROM bs a JOIN bs b ON a.bucket < b.bucket AND a.lox <= b.hix AND b.lox <= a.hix AND a.loy <= b.hiy AND b.loy <= a.hiy"))
 def bucket_overlap(spark, sf_dir):
-    return P.bucket_overlap(P.bucket_stats(P.median_buckets(parts(spark, sf_dir))).persist())
+    return P.bucket_overlap(P.bucket_stats(P.median_buckets(parts(spark, sf_dir))))
 
 
 @query(_with(PTS, BKT, select="SELECT bucket FROM bs WHERE lox = (SELECT min(lox) FROM bs) OR loy = (SELECT min(loy) FROM bs) OR hix = (SELECT max(hix) FROM bs) OR hiy = (SELECT max(hiy) FROM bs)"))
 def boundary_buckets(spark, sf_dir):
-    return P.boundary_buckets(P.bucket_stats(P.median_buckets(parts(spark, sf_dir))).persist())
+    return P.boundary_buckets(P.bucket_stats(P.median_buckets(parts(spark, sf_dir))))
 
 
 @query(_with(PTS, CELLS, select="SELECT cx, cy, n FROM cl"))
@@ -403,3 +410,169 @@ def pivot_dist_sort(spark, sf_dir):
 @query(_with(PTS, select="SELECT id, concat_ws(',', id, x, y) AS line FROM pts"))
 def point_lines(spark, sf_dir):
     return parts(spark, sf_dir).select("id", as_line("id", "x", "y").alias("line"))
+
+
+# --- files, counters and small functions ---------------------------------------------------------
+
+
+@query(_with(PTS, select="SELECT id, x, y FROM pts"))
+def csv_point_scan(spark, sf_dir):
+    return points_of_lines(parts(spark, sf_dir).select(as_line("id", "x", "y", F.lit("a description")).alias("value")))
+
+
+@query(_with(PTS, _knn(), LOF, f"top AS ({TOP})", select="SELECT row_number() OVER (ORDER BY lof, id DESC) AS place, concat_ws(',', id, lof) AS line FROM top"))
+def topn_lines(spark, sf_dir):
+    return lines_of_top(S.grid(parts(spark, sf_dir), CONFIG))
+
+
+@query(_with(PTS, _knn(), LOF, BND, select="SELECT count(*) AS points, count(*) FILTER (round(bound, 6) <= 1.5) AS pruned FROM bd"))
+def prune_counters(spark, sf_dir):
+    return L.point_bound(part_knn(spark, sf_dir)).agg(F.count(F.lit(1)).alias("points"), F.count_if(F.round("bound", 6) <= 1.5).alias("pruned"))
+
+
+@query(_with(PTS, select="SELECT id, greatest(x, 25.0) AS mx, greatest(y, 1200.0) AS my, round(x * y, 6) AS area, (id & 1) AS bit0, ((id >> 1) & 1) AS bit1, x = 0 OR x <= 7 AS absorbed FROM pts"))
+def point_functions(spark, sf_dir):
+    p = parts(spark, sf_dir).withColumn("most", M.greatest_of(F.array("x", "y"), F.array(F.lit(25.0), F.lit(1200.0)))).withColumn("bits", P.quadrant(F.col("id")))
+    metric = M.space("vector")["l1"]
+    return p.select("id", F.col("most")[0].alias("mx"), F.col("most")[1].alias("my"), F.round(M.product(F.array("x", "y")), 6).alias("area"), F.col("bits")[0].alias("bit0"), F.col("bits")[1].alias("bit1"), M.absorbs(metric([F.col("x")], [F.lit(0.0)]), 7.0).alias("absorbed"))
+
+
+# --- buckets by closest pair ---------------------------------------------------------------------
+
+BCP = f"bp AS (SELECT a.bucket, round(min({D_L2}), 6) AS cp_dist FROM bk a JOIN bk b ON a.bucket = b.bucket AND a.id <> b.id GROUP BY a.bucket)"
+
+
+def by_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep(P.median_buckets(parts(spark, sf_dir)))
+
+
+@query(_with(PTS, BKT, BCP, select="SELECT bucket, cp_dist FROM bp"))
+def bucket_closest_pair(spark, sf_dir):
+    return P.closest_pair_within(by_medians(spark, sf_dir), "bucket")
+
+
+@query(_with(PTS, BKT, BCP, select="SELECT bs.bucket, round(CASE WHEN least(1.5 * cp_dist / (2 * sqrt(2.0)), s / 5) >= s / 10 THEN least(1.5 * cp_dist / (2 * sqrt(2.0)), s / 5) END, 6) AS cell_size FROM (SELECT bucket, pow((hix - lox) * (hiy - loy) * 6 / n, 0.5) AS s FROM bs) bs JOIN bp ON bp.bucket = bs.bucket"))
+def bucket_cell_size_of_closest_pair(spark, sf_dir):
+    placed = by_medians(spark, sf_dir)
+    stats = P.bucket_stats(placed).withColumn("area", (F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy")))
+    return P.cell_size(stats.join(P.closest_pair_within(placed, "bucket"), "bucket"), 1.5, KN).select("bucket", F.round("cell_size", 6).alias("cell_size"))
+
+
+@query(_with(PTS, BKT, _knn(), LOF, select="SELECT p.id, round(greatest(s.lox - p.x + k.kdist, 0), 6) AS low_x, round(greatest(p.x + k.kdist - s.hix, 0), 6) AS high_x, round(greatest(s.loy - p.y + k.kdist, 0), 6) AS low_y, round(greatest(p.y + k.kdist - s.hiy, 0), 6) AS high_y FROM bk p JOIN bs s ON s.bucket = p.bucket JOIN kd k ON k.id = p.id"))
+def expansion_distance(spark, sf_dir):
+    placed = by_medians(spark, sf_dir)
+    return P.expansion_distance(parts(spark, sf_dir), L.kdist(part_knn(spark, sf_dir)), placed, P.bucket_stats(placed))
+
+
+@query(_with(PTS, BKT, select="SELECT bucket, round(CASE WHEN lox = (SELECT min(lox) FROM bs) OR loy = (SELECT min(loy) FROM bs) OR hix = (SELECT max(hix) FROM bs) OR hiy = (SELECT max(hiy) FROM bs) THEN 0 ELSE ln(n) END, 6) AS priority FROM bs"))
+def bucket_priority(spark, sf_dir):
+    return P.bucket_priority(P.bucket_stats(by_medians(spark, sf_dir)))
+
+
+@query(_with(PTS, BKT, select="SELECT bucket, CASE WHEN hix - lox >= hiy - loy THEN 0 ELSE 1 END AS longest, CASE WHEN hix - lox >= hiy - loy THEN 1 ELSE 0 END AS other FROM bs"))
+def bucket_dimensions(spark, sf_dir):
+    longest = P.longest_dimension()
+    return P.bucket_stats(by_medians(spark, sf_dir)).select("bucket", longest.alias("longest"), (1 - longest).alias("other"))
+
+
+#: Buckets of so many points are split; the SQL has as many levels as the tables it is meant for need.
+SPLIT, LEVELS = 20 * KN, 6
+KD = "k0 AS (SELECT id, x, y, 1 AS bucket FROM pts)" + "".join(f""",
+s{i} AS (SELECT bucket, count(*) AS n, max(x) - min(x) AS wx, max(y) - min(y) AS wy FROM k{i} GROUP BY bucket),
+k{i + 1} AS (SELECT id, x, y, CASE WHEN n >= {SPLIT} THEN bucket * 2 + CASE WHEN rn > n // 2 THEN 1 ELSE 0 END ELSE bucket END AS bucket FROM (SELECT k.id, k.x, k.y, k.bucket, s.n, row_number() OVER (PARTITION BY k.bucket ORDER BY CASE WHEN s.wx >= s.wy THEN k.x ELSE k.y END, k.id) AS rn FROM k{i} k JOIN s{i} s ON s.bucket = k.bucket))""" for i in range(LEVELS)) + f""",
+kd0 AS (SELECT id, x, y, bucket, CAST(floor(log2(bucket) + 0.000001) AS INT) AS depth FROM k{LEVELS})"""
+
+
+def _merged(level: int) -> str:
+    """The table of buckets after the siblings of a level are merged."""
+    own = f"(SELECT id, x, y, bucket >> (depth - {level - 1}) AS b FROM kd0 WHERE depth >= {level})"
+    return f"""u{level} AS (SELECT bucket >> 1 AS bucket, CAST(sum(n) AS BIGINT) AS n FROM m{level + 1} WHERE CAST(floor(log2(bucket) + 0.000001) AS INT) = {level} GROUP BY 1 HAVING count(*) = 2 AND count(cp_dist) = 2 AND (max(cp_dist) <= 10 * min(cp_dist) OR max(cp_dist) <= 1e-10)),
+m{level} AS (SELECT * FROM m{level + 1} WHERE bucket >> 1 NOT IN (SELECT bucket FROM u{level}) UNION ALL SELECT u.bucket, u.n, c.d FROM u{level} u LEFT JOIN (SELECT a.b, round(min({D_L2}), 6) AS d FROM {own} a JOIN {own} b ON a.b = b.b AND a.id <> b.id GROUP BY a.b) c ON c.b = u.bucket)"""
+
+
+MERGED = f"m{LEVELS + 1} AS (SELECT l.bucket, l.n, c.d AS cp_dist FROM (SELECT bucket, count(*) AS n FROM kd0 GROUP BY bucket) l LEFT JOIN (SELECT a.bucket, round(min({D_L2}), 6) AS d FROM kd0 a JOIN kd0 b ON a.bucket = b.bucket AND a.id <> b.id GROUP BY a.bucket) c ON c.bucket = l.bucket),\n" + ",\n".join(_merged(i) for i in range(LEVELS, 0, -1))
+
+
+@query(_with(PTS, KD, select="SELECT id, bucket FROM kd0"))
+def kd_buckets(spark, sf_dir):
+    return P.kd_buckets(parts(spark, sf_dir), SPLIT).select("id", "bucket")
+
+
+@query(_with(PTS, KD, MERGED, select="SELECT bucket, n, cp_dist FROM m1"))
+def bucket_merge(spark, sf_dir):
+    return P.merged_buckets(P.kd_buckets(parts(spark, sf_dir), SPLIT)).select("bucket", "n", "cp_dist")
+
+
+# --- more micro-clusters and rectangles ----------------------------------------------------------
+
+
+@query(_with(PTS, MCS, select=f"SELECT mc_id, round(CASE WHEN count(*) = {KN} THEN max(d) ELSE -1 END, 6) AS pivot_kdist FROM (SELECT mc_id, d, row_number() OVER (PARTITION BY mc_id ORDER BY d, id) AS rn FROM asg) WHERE rn <= {KN} GROUP BY mc_id"))
+def mc_pivot_kdist(spark, sf_dir):
+    return MC.pivot_kdist(clusters(spark, sf_dir)[0], KN)
+
+
+@query(_with(PTS, MCS, select="SELECT mc_id, row_number() OVER (PARTITION BY mc_id ORDER BY id) AS place, id FROM asg"))
+def mc_members(spark, sf_dir):
+    return MC.members(clusters(spark, sf_dir)[0])
+
+
+#: A lattice of parts, clustered by twos, with some parts far from it and from each other: the lattice can be pruned.
+LATTICE = """lat AS (SELECT p_partkey AS id, CAST(p_partkey % 100 AS DOUBLE) AS x, CAST(p_partkey // 100 AS DOUBLE) AS y, (p_partkey // 500) % 4 AS j, p_partkey // 2000 + 1 AS m, p_partkey % 500 = 0 AS far FROM part),
+pts AS (SELECT *, CAST(floor(x / 2) * 1000000 + floor(y) AS BIGINT) AS brand FROM (SELECT id, CASE WHEN NOT far THEN x WHEN j = 0 THEN -60.0 * m WHEN j = 1 THEN 160.0 * m ELSE 50 END AS x, CASE WHEN NOT far THEN y WHEN j = 2 THEN -50.0 * m WHEN j = 3 THEN 80.0 * m ELSE 10 END AS y FROM lat))"""
+
+
+def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    j, m, near = F.floor(key / 500) % 4, F.floor(key / 2000) + 1, key % 500 != 0
+    x = F.when(near, key % 100).when(j == 0, -60.0 * m).when(j == 1, 160.0 * m).otherwise(50)
+    y = F.when(near, F.floor(key / 100)).when(j == 2, -50.0 * m).when(j == 3, 80.0 * m).otherwise(10)
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return points.withColumn("brand", (F.floor(F.col("x") / 2) * 1000000 + F.floor("y")).cast("long"))
+
+
+def lattice_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = lattice(spark, sf_dir)
+    centroids = keep(MC.centroids_by(points, "brand"))
+    return keep(MC.stats(keep(MC.assign(points.drop("brand"), centroids)), centroids))
+
+
+@query(_with(LATTICE, MCS, KDB, LOB, select="SELECT mc_id FROM lb WHERE upper < (SELECT lower FROM lb ORDER BY lower DESC, mc_id LIMIT 1 OFFSET 3)"))
+def mc_prune_lattice(spark, sf_dir):
+    return MC.pruned(MC.lof_bounds(lattice_clusters(spark, sf_dir), KN), 4)
+
+
+@query(_with(LATTICE, _knn(), LOF, select=TOP.replace("10", "4")))
+def lof_micro_cluster_plan_lattice(spark, sf_dir):
+    points = lattice(spark, sf_dir)
+    return S.micro_cluster(points.drop("brand"), MC.centroids_by(points, "brand"), LofConfig(n=4))
+
+
+@query(_with(RCT, select="SELECT id FROM rc WHERE lox <= 2 AND hix >= 49 AND loy <= 905 AND hiy >= 990"))
+def rect_contains(spark, sf_dir):
+    return R.contains(rects(spark, sf_dir), (2.0, 905.0, 49.0, 990.0))
+
+
+@query(_with(RCT, select="SELECT id FROM rc WHERE lox = 1 OR loy = 0 OR hix = 49 OR hiy = 1"))
+def rect_edge_overlaps(spark, sf_dir):
+    return R.edge_overlaps(rects(spark, sf_dir), (1.0, 0.0, 49.0, 1.0))
+
+
+@query(_with(RCT, select="SELECT a.id FROM rc a JOIN rc b ON b.id = 7 AND a.lox = b.lox AND a.loy = b.loy AND a.hix = b.hix AND a.hiy = b.hiy"))
+def rect_equals(spark, sf_dir):
+    box = rects(spark, sf_dir).where("id = 7").select("lox", "loy", "hix", "hiy").first()
+    return R.equals(rects(spark, sf_dir), tuple(box))
+
+
+@query(_with(RCT, select=f"SELECT id, least(lox, {BOX[0]}) AS lox, least(loy, {BOX[1]}) AS loy, greatest(hix, {BOX[2]}) AS hix, greatest(hiy, {BOX[3]}) AS hiy FROM rc"))
+def rect_union(spark, sf_dir):
+    return R.union_with(rects(spark, sf_dir), BOX)
+
+
+@query(_with(RCT, "f AS (SELECT id, round(sqrt(gx * gx + gy * gy), 6) AS dist FROM (SELECT id, greatest(lox - 60.0, 0, 60.0 - hix) AS gx, greatest(loy - 3000.0, 0, 3000.0 - hiy) AS gy FROM rc))", select="SELECT id, dist FROM f WHERE dist = (SELECT min(dist) FROM f)"))
+def rect_nearest(spark, sf_dir):
+    return R.nearest(rects(spark, sf_dir), 60.0, 3000.0)
+
+
+@query(_with(RCT, select="SELECT a.id, b.id AS other FROM rc a JOIN rc b ON a.id < b.id AND a.lox <= b.hix AND b.lox <= a.hix AND a.loy <= b.hiy AND b.loy <= a.hiy"))
+def rect_meeting_pairs(spark, sf_dir):
+    return R.meeting_pairs(rects(spark, sf_dir), 10.0, 100.0)

@@ -46,6 +46,26 @@ def hyperplane(p: list[Column], a: list[Column], b: list[Column]) -> Column:
     return F.when(gap > 0, F.abs(along) / F.sqrt(gap))
 
 
+SPACES = {"vector": METRICS}
+
+
+def space(name: str) -> dict:
+    """The metrics of a metric space; vectors are the only one."""
+    if name not in SPACES:
+        raise ValueError(f"unknown metric space {name!r}; known: {sorted(SPACES)}")
+    return SPACES[name]
+
+
+def greatest_of(a: Column, b: Column) -> Column:
+    """The larger number at each place of two arrays."""
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+
+
+def absorbs(distance: Column, threshold: float) -> Column:
+    """Whether a cluster takes in an entry at that distance."""
+    return (distance == 0) | (distance <= threshold)
+
+
 def product(a: Column) -> Column:
     return F.aggregate(a, F.lit(1.0), lambda s, x: s * x)
 

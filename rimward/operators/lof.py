@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rimward.operators.caching import keep
+
 
 def kdist(knn: DataFrame) -> DataFrame:
     return knn.groupBy("id").agg(F.max("dist").alias("kdist"))
@@ -37,7 +39,7 @@ def lof(knn: DataFrame, density: DataFrame, k: int) -> DataFrame:
 
 def lof_of(knn: DataFrame, k: int) -> DataFrame:
     """(id, lof) of every point of a neighbour table, which is read several times and so kept."""
-    knn = knn.persist()
+    knn = keep(knn)
     return lof(knn, lrd(reach_dist(knn), k), k)
 
 
@@ -57,7 +59,7 @@ def point_bound(knn: DataFrame) -> DataFrame:
 
 def lof_of_survivors(knn: DataFrame, survivors: DataFrame, k: int) -> DataFrame:
     """LOF of ``survivors`` only: densities of them and their neighbours, k-distances of those' neighbours."""
-    knn = knn.persist()
+    knn = keep(knn)
     first = knn.join(survivors.select("id"), "id", "left_semi")
     need = first.select(F.col("nid").alias("id")).unionByName(survivors.select("id")).distinct()
     second = knn.join(need, "id", "left_semi")

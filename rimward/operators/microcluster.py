@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rimward.functions.metrics import cf_distance, hyperplane, l2
+from rimward.functions.metrics import cf_distance, hyperplane, l2, metric
+from rimward.operators.caching import keep
 
 C = F.col
 
@@ -38,10 +39,10 @@ def leaders(points: DataFrame, radius: float) -> DataFrame:
     return points.coalesce(1).sortWithinPartitions("id").select("x", "y").mapInPandas(fold, "mc_id long, cx double, cy double")
 
 
-def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
+def assign(points: DataFrame, centroids: DataFrame, name: str = "L2") -> DataFrame:
     """(id, x, y, mc_id, d): each point's nearest centroid, ties by mc_id. The centroids are few: one array of them goes along."""
     held = centroids.agg(F.sort_array(F.collect_list(F.struct("mc_id", "cx", "cy"))).alias("held"))
-    near = F.array_min(F.transform("held", lambda c: F.struct(l2([C("x"), C("y")], [c["cx"], c["cy"]]).alias("d"), c["mc_id"].alias("mc_id"))))
+    near = F.array_min(F.transform("held", lambda c: F.struct(metric(name)([C("x"), C("y")], [c["cx"], c["cy"]]).alias("d"), c["mc_id"].alias("mc_id"))))
     return points.crossJoin(F.broadcast(held)).withColumn("_n", near).select("id", "x", "y", C("_n.mc_id").alias("mc_id"), C("_n.d").alias("d"))
 
 
@@ -50,10 +51,10 @@ def stats(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     return assigned.groupBy("mc_id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).join(centroids, "mc_id").select("mc_id", "cx", "cy", "n", "radius")
 
 
-def pairs(clusters: DataFrame) -> DataFrame:
+def pairs(clusters: DataFrame, name: str = "L2") -> DataFrame:
     """Ordered pairs of different clusters with the distance of their centroids: a table of clusters is small."""
     other = clusters.select(*[C(c).alias(f"o_{c}") for c in clusters.columns])
-    return clusters.join(other, C("mc_id") != C("o_mc_id")).withColumn("d", l2([C("cx"), C("cy")], [C("o_cx"), C("o_cy")]))
+    return clusters.join(other, C("mc_id") != C("o_mc_id")).withColumn("d", metric(name)([C("cx"), C("cy")], [C("o_cx"), C("o_cy")]))
 
 
 def overlaps(clusters: DataFrame) -> DataFrame:
@@ -77,9 +78,9 @@ def point_bounds(assigned: DataFrame, clusters: DataFrame) -> DataFrame:
     return both.select("id", "other", F.round(F.when(apart, F.greatest(d - C("br"), F.lit(0.0))).otherwise(plane), 6).alias("least"), F.round(d + C("br"), 6).alias("most"))
 
 
-def kdist_bounds(clusters: DataFrame, k: int) -> DataFrame:
+def kdist_bounds(clusters: DataFrame, k: int, name: str = "L2") -> DataFrame:
     """(mc_id, kd_lo, kd_hi) for a cluster's members: clusters in order of their least (largest) distance until k other points are reached."""
-    near = pairs(clusters).select("mc_id", C("o_n").alias("n"), F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"))
+    near = pairs(clusters, name).select("mc_id", C("o_n").alias("n"), F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"))
     near = near.unionByName(clusters.select("mc_id", (C("n") - 1).alias("n"), F.lit(0.0).alias("lo"), (2 * C("radius")).alias("hi")))
 
     def reached(edge: str):
@@ -89,16 +90,17 @@ def kdist_bounds(clusters: DataFrame, k: int) -> DataFrame:
     return clusters.select("mc_id").join(reached("lo"), "mc_id", "left").join(reached("hi"), "mc_id", "left").select("mc_id", F.coalesce("kd_lo", F.lit(0.0)).alias("kd_lo"), "kd_hi")
 
 
-def lof_bounds(clusters: DataFrame, k: int) -> DataFrame:
+def lof_bounds(clusters: DataFrame, k: int, name: str = "L2") -> DataFrame:
     """(mc_id, n, lower, upper) of the outlier factors of a cluster's members; null where nothing is known.
 
     A member's neighbours lie in clusters whose least distance is at most kd_hi. Reachabilities between
     two clusters lie between max(least, kd_lo of the neighbour) and max(most, its kd_hi), so densities, and
     with them their ratios, are bounded.
     """
-    full = clusters.join(kdist_bounds(clusters, k), "mc_id").persist()
-    near = pairs(full).select("mc_id", C("o_mc_id").alias("other"), "kd_hi", F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"), "o_kd_lo", "o_kd_hi")
-    near = near.unionByName(full.select("mc_id", C("mc_id").alias("other"), "kd_hi", F.lit(0.0).alias("lo"), (2 * C("radius")).alias("hi"), C("kd_lo").alias("o_kd_lo"), C("kd_hi").alias("o_kd_hi"))).where("lo <= kd_hi + 0.000001")
+    full = clusters.join(kdist_bounds(clusters, k, name), "mc_id")
+    near = pairs(full, name).select("mc_id", C("o_mc_id").alias("other"), "kd_hi", F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"), "o_kd_lo", "o_kd_hi")
+    # a cluster of one point holds no neighbour of its member
+    near = near.unionByName(full.select("mc_id", C("mc_id").alias("other"), "kd_hi", F.lit(0.0).alias("lo"), (2 * C("radius")).alias("hi"), C("kd_lo").alias("o_kd_lo"), C("kd_hi").alias("o_kd_hi")).where("n > 1")).where("lo <= kd_hi + 0.000001")
     reach = near.groupBy("mc_id").agg(F.min(F.greatest("lo", "o_kd_lo")).alias("r_lo"), F.max(F.greatest("hi", "o_kd_hi")).alias("r_hi"))
     around = near.select("mc_id", "other").join(reach.select(C("mc_id").alias("other"), C("r_lo").alias("n_lo"), C("r_hi").alias("n_hi")), "other").groupBy("mc_id").agg(F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
     out = full.select("mc_id", "n").join(reach, "mc_id").join(around, "mc_id")
@@ -128,3 +130,15 @@ def feature_distances(cf: DataFrame) -> DataFrame:
 def sum_lambda(cf: DataFrame) -> DataFrame:
     """Number of sub-clusters and the root of the sum of their squared populations."""
     return cf.agg(F.count(F.lit(1)).alias("entries"), F.round(F.sqrt(F.sum(C("n") * C("n"))), 6).alias("sum_lambda"))
+
+
+def pivot_kdist(assigned: DataFrame, k: int) -> DataFrame:
+    """(mc_id, pivot_kdist): the distance of the k-th nearest member from the centroid, -1 for clusters of fewer members."""
+    order = Window.partitionBy("mc_id").orderBy("d", "id")
+    last = assigned.withColumn("rn", F.row_number().over(order)).where(C("rn") <= k).groupBy("mc_id").agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("d"))
+    return last.select("mc_id", F.round(F.when(C("c") == k, C("d")).otherwise(-1.0), 6).alias("pivot_kdist"))
+
+
+def members(assigned: DataFrame) -> DataFrame:
+    """(mc_id, place, id): the members of each cluster by id."""
+    return assigned.select("mc_id", F.row_number().over(Window.partitionBy("mc_id").orderBy("id")).alias("place"), "id")

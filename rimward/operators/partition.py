@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimward.functions.metrics import boxes_meet
-from rimward.operators.knn import knn_grid, knn_within
+from rimward.operators.caching import cut, keep
+from rimward.operators.knn import knn_grid, knn_within, quantiles
 
 
 def closest_pair(points: DataFrame, k_cell: int = 12) -> DataFrame:
@@ -19,16 +20,117 @@ def closest_pair_within(points: DataFrame, group: str) -> DataFrame:
     return knn_within(points, 1, group).groupBy(group).agg(F.round(F.min("dist"), 6).alias("cp_dist"))
 
 
-def median_buckets(points: DataFrame, levels: int = 3) -> DataFrame:
+def _first(placed: DataFrame, goal: DataFrame, by: list[str], slices: int = 64) -> DataFrame:
+    """``placed`` with ``half``: 0 for the first ``goal`` rows of each bucket in order of ``by``, 1 for the rest; for few large buckets.
+
+    Approximate quantiles cut a bucket into slices, single common values being slices of their own. Counts say which slices lie
+    before the goal, and only the one that holds it is ranked: by itself, or, if it is one value, by the next column in the same way.
+    """
+    bounds = placed.groupBy("bucket").agg(quantiles(by[0], slices).alias("_q")).join(goal, "bucket")
+    held = placed.join(F.broadcast(bounds), "bucket")  # a row for each of the few buckets
+    value = F.col(by[0]).cast("double")
+    place = F.size(F.filter(F.col("_q").cast("array<double>"), lambda e: e < value)) * 2 + F.array_contains(F.col("_q").cast("array<double>"), value).cast("int")
+    sliced = cut(held.withColumn("_slice", place).drop("_q"))
+    ahead = Window.partitionBy("bucket").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy("bucket", "_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    marked = sliced.join(F.broadcast(sums), ["bucket", "_slice"])  # at most 2 * slices + 1 rows a bucket
+    before, over = F.col("_before") + F.col("_n") <= F.col("goal"), F.col("_before") >= F.col("goal")
+    done = marked.where(before | over).withColumn("half", over.cast("int"))
+    mid = cut(marked.where(~before & ~over).withColumn("goal", F.col("goal") - F.col("_before")))
+    rank = lambda rows: rows.withColumn("half", (F.row_number().over(Window.partitionBy("bucket").orderBy(*by)) > F.col("goal")).cast("int"))
+    out = [done, rank(mid.where("_slice % 2 = 0"))]
+    same = mid.where("_slice % 2 = 1")
+    if len(by) == 1:
+        out.append(rank(same))
+    else:
+        out.append(_first(same.select(*placed.columns), same.groupBy("bucket").agg(F.min("goal").alias("goal")), by[1:], slices))
+    columns = [*placed.columns, "half"]
+    return out[0].select(*columns).unionByName(out[1].select(*columns)).unionByName(out[2].select(*columns))
+
+
+def halve(placed: DataFrame, axis: str, left: str = "ceil", most_sorted: int = 4_000_000) -> DataFrame:
+    """``placed`` with ``half``: 0 or 1 for the rows of each bucket before and from its median rank by ``axis`` and id.
+
+    Of an odd number the left half has one more, or one less with ``left="floor"``. Buckets of up to ``most_sorted`` rows are sorted by a task each.
+    """
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    target = F.ceil(F.col("n") / 2) if left == "ceil" else F.floor(F.col("n") / 2)
+    large = [r["bucket"] for r in sizes.where(F.col("n") > most_sorted).select("bucket").collect()]  # few: each holds over most_sorted rows
+    order = Window.partitionBy("bucket")
+    placed = cut(placed) if large else placed
+    small = placed.where(~F.col("bucket").isin(large)) if large else placed
+    n = F.count(F.lit(1)).over(order)
+    goal = F.ceil(n / 2) if left == "ceil" else F.floor(n / 2)
+    out = small.withColumn("half", (F.row_number().over(order.orderBy(axis, "id")) > goal).cast("int"))
+    if large:
+        rest = placed.where(F.col("bucket").isin(large))
+        goals = sizes.where(F.col("bucket").isin(large)).select("bucket", target.alias("goal"))
+        out = cut(out.unionByName(_first(rest, cut(goals), [axis, "id"])))
+    return out
+
+
+def median_buckets(points: DataFrame, levels: int = 3, most_sorted: int = 4_000_000) -> DataFrame:
     """``bucket``: halves at the median rank of x and y in turn, the first dimension first; exact halves, ties by id."""
     out = points.withColumn("bucket", F.lit(0))
     for level in range(levels):
-        axis = "x" if level % 2 == 0 else "y"
-        half = F.ntile(2).over(Window.partitionBy("bucket").orderBy(axis, "id"))
-        out = out.withColumn("bucket", F.col("bucket") * 2 + half - 1)
+        out = halve(out, "x" if level % 2 == 0 else "y", most_sorted=most_sorted)
+        out = out.withColumn("bucket", F.col("bucket") * 2 + F.col("half")).drop("half")
     return out
 
 
+def longest_dimension() -> Column:
+    """0 or 1: the dimension in which a box is widest, the first of equals."""
+    return F.when(F.col("hix") - F.col("lox") >= F.col("hiy") - F.col("loy"), 0).otherwise(1)
+
+
+def _depth() -> Column:
+    return F.length(F.bin("bucket")) - 1
+
+
+def kd_buckets(points: DataFrame, least: int, most_sorted: int = 4_000_000) -> DataFrame:
+    """``bucket`` and ``level``: halves at the median of a bucket's longest dimension while it holds ``least`` points or more.
+
+    The left half has floor(n / 2) points. A bucket's children are 2 b and 2 b + 1, the whole is 1, so a number shifted right is the parent's.
+    """
+    out = points.withColumn("bucket", F.lit(1).cast("long"))
+    while True:
+        out = cut(out)
+        stats = bucket_stats(out).where(F.col("n") >= least)
+        if stats.isEmpty():
+            return out
+        split = out.join(stats.select("bucket", longest_dimension().alias("_axis")), "bucket", "left")
+        ranked = split.withColumn("_v", F.when(F.col("_axis") == 0, F.col("x")).otherwise(F.col("y")))
+        halves = halve(ranked.where("_axis is not null"), "_v", "floor", most_sorted)
+        out = halves.withColumn("bucket", F.col("bucket") * 2 + F.col("half")).select(*out.columns).unionByName(ranked.where("_axis is null").select(*out.columns))
+
+
+def merged_buckets(placed: DataFrame, ratio: float = 10.0, tiny: float = 1e-10) -> DataFrame:
+    """(bucket, n, cp_dist): siblings become their parent, from the smallest up, while the closest-pair distances of both differ
+    by the factor ``ratio`` at most or are both tiny. ``placed`` has leaves that are numbered as by ``kd_buckets``."""
+    now = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(closest_pair_within(placed, "bucket"), "bucket", "left"))
+    depth = now.agg(F.max(_depth())).first()[0] or 0
+    for level in range(int(depth), 0, -1):
+        mine = now.where(_depth() == level).withColumn("_up", F.shiftright("bucket", 1))
+        near = (F.greatest("a", "b") <= F.lit(ratio) * F.least("a", "b")) | (F.greatest("a", "b") <= tiny)
+        pairs = mine.groupBy("_up").agg(F.count(F.lit(1)).alias("c"), F.min("cp_dist").alias("a"), F.max("cp_dist").alias("b"), F.count("cp_dist").alias("k"), F.sum("n").alias("n"))
+        joined = cut(pairs.where((F.col("c") == 2) & (F.col("k") == 2) & near).select(F.col("_up").alias("bucket"), "n"))
+        if joined.isEmpty():
+            continue
+        shift = (_depth() - F.lit(level - 1)).cast("int")
+        under = placed.where(_depth() >= level).withColumn("bucket", F.call_function("shiftright", F.col("bucket"), shift)).join(joined.select("bucket"), "bucket", "left_semi")
+        new = joined.join(closest_pair_within(under, "bucket"), "bucket", "left")
+        kept = now.join(joined.select(F.col("bucket").alias("_up")), F.shiftright("bucket", 1) == F.col("_up"), "left_anti")
+        now = cut(kept.unionByName(new))
+    return now
+
+
+def bucket_of(placed: DataFrame, merged: DataFrame) -> DataFrame:
+    """``placed`` with the merged bucket, the ancestor of its own that is in ``merged``."""
+    up = F.explode(F.transform(F.sequence(F.lit(0), _depth()), lambda s: F.struct(F.call_function("shiftright", F.col("bucket"), s).alias("b"))))
+    ways = placed.select("bucket").distinct().withColumn("_u", up).select("bucket", F.col("_u.b").alias("into")).join(merged.select(F.col("bucket").alias("into")), "into", "left_semi")
+    return placed.join(ways, "bucket").withColumn("bucket", F.col("into")).drop("into")
+
+
 def bucket_stats(placed: DataFrame) -> DataFrame:
     return placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
 
@@ -57,7 +159,7 @@ def cell_histogram(points: DataFrame, size_x: float, size_y: float) -> DataFrame
 
 def prunable_cells(points: DataFrame, k: int, size_x: float, size_y: float) -> DataFrame:
     """Cells of more than k points, at least 4 cells from the low and 5 from the high edge."""
-    cells = cell_histogram(points, size_x, size_y).persist()
+    cells = keep(cell_histogram(points, size_x, size_y))
     top = cells.agg(F.max("cx").alias("x"), F.max("cy").alias("y")).first()
     return cells.where((F.col("n") > k) & (F.col("cx") >= 4) & (F.col("cy") >= 4) & (F.col("cx") <= (top["x"] or 0) - 5) & (F.col("cy") <= (top["y"] or 0) - 5))
 
@@ -75,3 +177,21 @@ def expansion_box(points: DataFrame, kd: DataFrame) -> DataFrame:
     both = points.join(kd, "id")
     edge = lambda c, s, e, f: F.round(f(F.col(c) + s * F.col("kdist"), F.lit(e)), 6)
     return both.select("id", edge("x", -1, ends["a"], F.greatest).alias("lox"), edge("y", -1, ends["b"], F.greatest).alias("loy"), edge("x", 1, ends["c"], F.least).alias("hix"), edge("y", 1, ends["d"], F.least).alias("hiy"))
+
+
+def expansion_distance(points: DataFrame, kd: DataFrame, placed: DataFrame, stats: DataFrame) -> DataFrame:
+    """(id, low_x, high_x, low_y, high_y): how far a point's k-distance ball leaves the box of its bucket on each side; 0 where it does not."""
+    both = points.join(kd, "id").join(placed.select("id", "bucket"), "id").join(stats.drop("n"), "bucket")
+    out = lambda e: F.round(F.greatest(e, F.lit(0.0)), 6)
+    return both.select("id", *[x for c in ("x", "y") for x in (out(F.col(f"lo{c}") - F.col(c) + F.col("kdist")).alias(f"low_{c}"), out(F.col(c) + F.col("kdist") - F.col(f"hi{c}")).alias(f"high_{c}"))])
+
+
+def bucket_priority(stats: DataFrame) -> DataFrame:
+    """(bucket, priority): ln(n), 0 for buckets on the border of the domain."""
+    edge = boundary_buckets(stats).withColumn("_edge", F.lit(True))
+    return stats.join(edge, "bucket", "left").select("bucket", F.round(F.when(F.col("_edge"), 0.0).otherwise(F.log("n")), 6).alias("priority"))
+
+
+def quadrant(index: Column, dims: int = 2) -> Column:
+    """The bits of a quadrant's number, one a dimension."""
+    return F.array(*[F.shiftright(index, i).bitwiseAND(1) for i in range(dims)])

@@ -1,4 +1,4 @@
-"""Interchangeable plans for the top-N outliers; all give the same rows."""
+"""Interchangeable plans for the top-N outliers; all give the same rows, whatever the metric and ``include_self``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rimward.config import LofConfig
 from rimward.operators import lof as L
 from rimward.operators import microcluster as MC
-from rimward.operators.knn import knn_grid, knn_pivot
+from rimward.operators.caching import cut, keep
+from rimward.operators.knn import knn_grid, knn_of, knn_pivot
 
 
 def grid(points: DataFrame, c: LofConfig) -> DataFrame:
@@ -16,13 +17,32 @@ def grid(points: DataFrame, c: LofConfig) -> DataFrame:
 
 
 def pivot(points: DataFrame, c: LofConfig) -> DataFrame:
-    return L.top_n(L.lof_of(knn_pivot(points, c.k, name=c.metric), c.k), c.n, c.threshold)
+    return L.top_n(L.lof_of(knn_pivot(points, c.k, name=c.metric, include_self=c.include_self), c.k), c.n, c.threshold)
+
+
+def closure(points: DataFrame, survivors: DataFrame, c: LofConfig) -> DataFrame:
+    """Neighbours of the survivors, of their neighbours, and of those' neighbours: all that their scores need."""
+    near = lambda ids: knn_of(points, ids, c.k, c.metric, c.cell_points, c.include_self)
+    found, done = None, None
+    ask = cut(survivors.select("id").distinct())
+    for _ in range(3):
+        new = cut(near(ask))
+        found = new if found is None else found.unionByName(new)
+        done = ask if done is None else done.unionByName(ask)
+        ask = cut(new.select(F.col("nid").alias("id")).distinct().join(done, "id", "left_anti"))
+    return found
+
+
+def survivors_only(points: DataFrame, survivors: DataFrame, c: LofConfig, share: float = 0.2) -> DataFrame:
+    """Neighbours for the scores of ``survivors``: the closure of few, those of all points if there are many."""
+    few = survivors.count() <= share * points.count()
+    return closure(points, survivors, c) if few else knn_grid(points, c.k, c.metric, c.cell_points, c.include_self)
 
 
 def cell_pruning(points: DataFrame, c: LofConfig, seeds: int = 200) -> DataFrame:
     """Exact scores of a few seeds give a threshold; points whose bound is not over it need no score."""
-    knn = knn_grid(points, c.k, c.metric, c.cell_points).persist()
-    bound = L.point_bound(knn).persist()
+    knn = keep(knn_grid(points, c.k, c.metric, c.cell_points, c.include_self))
+    bound = keep(L.point_bound(knn))
     seed = bound.where("bound is not null").orderBy(F.desc("bound"), "id").limit(seeds).select("id")
     best = L.top_n(L.lof_of_survivors(knn, seed, c.k), c.n, c.threshold).select("lof").collect()  # n numbers
     least = best[-1]["lof"] if len(best) == c.n else c.threshold
@@ -31,9 +51,13 @@ def cell_pruning(points: DataFrame, c: LofConfig, seeds: int = 200) -> DataFrame
 
 
 def micro_cluster(points: DataFrame, centroids: DataFrame, c: LofConfig) -> DataFrame:
-    """Clusters whose upper bound cannot reach the n-th lower bound are left out before scoring."""
-    assigned = MC.assign(points, centroids).persist()
-    bounds = MC.lof_bounds(MC.stats(assigned, centroids), c.k).persist()
-    gone = MC.pruned(bounds, c.n)
-    survivors = assigned.join(gone, "mc_id", "left_anti").select("id")
-    return L.top_n(L.lof_of_survivors(knn_grid(points, c.k, c.metric, c.cell_points), survivors, c.k), c.n, c.threshold)
+    """Clusters whose upper bound cannot reach the n-th lower bound are left out before any neighbour is looked for.
+
+    The bounds hold for neighbours that exclude the point itself; with ``include_self`` nothing is pruned.
+    """
+    if c.include_self:
+        return grid(points, c)
+    assigned = cut(MC.assign(points, centroids, c.metric))
+    bounds = cut(MC.lof_bounds(MC.stats(assigned, centroids), c.k, c.metric))
+    survivors = cut(assigned.join(MC.pruned(bounds, c.n), "mc_id", "left_anti").select("id"))
+    return L.top_n(L.lof_of_survivors(survivors_only(points, survivors, c), survivors, c.k), c.n, c.threshold)

@@ -5,11 +5,13 @@ import random
 
 import pytest
 
+from rimward import cli
 from rimward.config import LofConfig
-from rimward.functions.metrics import metric
+from rimward.functions.metrics import metric, space
 from rimward.operators import lof as L
 from rimward.operators import microcluster as MC
-from rimward.operators.knn import knn_grid, knn_pivot
+from rimward.operators import partition as P
+from rimward.operators.knn import knn_grid, knn_pivot, knn_vectors, knn_within
 from rimward.plans import strategies as S
 from rimward.sources.points import read_points_csv, write_topn
 
@@ -53,6 +55,15 @@ def test_plans_agree_and_pruning_loses_nothing(spark):
     assert [tuple(r) for r in S.pivot(df, c).collect()] == want
     assert [tuple(r) for r in S.cell_pruning(df, c, seeds=20).collect()] == want
     assert [tuple(r) for r in S.micro_cluster(df, MC.leaders(df, 8.0), c).collect()] == want
+    for c in (LofConfig(n=7, metric="L1"), LofConfig(n=7, include_self=True)):
+        want = [tuple(r) for r in S.grid(df, c).collect()]
+        assert [tuple(r) for r in S.pivot(df, c).collect()] == want
+        assert [tuple(r) for r in S.cell_pruning(df, c, seeds=20).collect()] == want
+        assert [tuple(r) for r in S.micro_cluster(df, MC.leaders(df, 8.0), c).collect()] == want
+    few = df.where("id % 40 = 0")
+    want = {r["id"]: r["lof"] for r in L.lof_of(knn_grid(df, 6), 6).collect()}
+    got = {r["id"]: r["lof"] for r in L.lof_of_survivors(S.closure(df, few, LofConfig()), few, 6).collect()}
+    assert got and got == {i: want[i] for i in got}
     scores = {r["id"]: r["lof"] for r in L.lof_of(knn_grid(df, 6), 6).collect()}
     bounds = {r["id"]: r["bound"] for r in L.point_bound(knn_grid(df, 6).persist()).collect()}
     assert all(b is None or scores[i] <= b + 1e-6 for i, b in bounds.items())
@@ -64,6 +75,43 @@ def test_plans_agree_and_pruning_loses_nothing(spark):
         assert low - 1e-5 <= scores[r["id"]] and (high is None or scores[r["id"]] <= high + 1e-5 or scores[r["id"]] == 0)
 
 
+@pytest.mark.parametrize("name", ["L1", "L2"])
+def test_neighbours_of_skewed_points_groups_and_copies(spark, name):
+    """Diagonal and clustered points, groups of very different sizes, and many points at one place."""
+    dist = math.dist if name == "L2" else lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True))
+    rng = random.Random(9)
+    points = [(i, t := rng.uniform(0, 100), t + rng.gauss(0, 0.1)) for i in range(300)] + [(1000 + i, rng.gauss(90, 1), rng.gauss(5, 1)) for i in range(200)]
+    copies = [(5000 + i, 3.0, 3.0) for i in range(400)] + [(6000 + i, 3.0, 4.0) for i in range(3)]
+    for some in (points, points + copies):
+        near, _ = brute(some, 4, dist)
+        for found in (knn_grid(spark.createDataFrame(some, POINTS), 4, name), knn_pivot(spark.createDataFrame(some, POINTS), 4, name=name)):
+            got = {}
+            for r in found.orderBy("id", "rn").collect():
+                got.setdefault(r["id"], []).append((round(r["dist"], 9), r["nid"]))
+            assert got == {i: [(round(d, 9), j) for d, j in n] for i, n in near.items()}
+    grouped = [("big" if i < 300 else f"small{i % 30}", i, x, y) for i, x, y in points]
+    want = {}
+    for g in {r[0] for r in grouped}:
+        want.update({i: [j for _, j in n] for i, n in brute([r[1:] for r in grouped if r[0] == g], 4, dist)[0].items() if n})
+    got = {}
+    for r in knn_within(spark.createDataFrame(grouped, "g string, " + POINTS), 4, "g", name).orderBy("id", "rn").collect():
+        got.setdefault(r["id"], []).append(r["nid"])
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["L1", "L2"])
+def test_vectors_against_brute_force(spark, name):
+    dist = math.dist if name == "L2" else lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True))
+    rng = random.Random(10)
+    rows = [(i, [rng.gauss(0, 1) + 8 * (i % 3) for _ in range(7)]) for i in range(150)]
+    rows += [(500 + i, rows[0][1]) for i in range(8)]
+    near = {i: sorted((round(dist(p, q), 9), j) for j, q in rows if j != i)[:5] for i, p in rows}
+    got = {}
+    for r in knn_vectors(spark.createDataFrame(rows, "id long, v array<double>"), 5, name, 9, block=16).orderBy("id", "rn").collect():
+        got.setdefault(r["id"], []).append((r["dist"], r["nid"]))
+    assert got == near
+
+
 def test_edge_cases(spark):
     make = lambda rows: spark.createDataFrame(rows, POINTS)
     few = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 2.0), (4, 5.0, 5.0)]
@@ -80,10 +128,45 @@ def test_edge_cases(spark):
 
 
 def test_files_and_names(spark, tmp_path):
-    (tmp_path / "p.csv").write_text("1,0.5,-2,a text\n2,3,4\n3,1,1\n")
+    (tmp_path / "p.csv").write_text("1,0.5,-2,a text\n2,3,4\n\n3,1,1\n")
     df = read_points_csv(spark, str(tmp_path / "p.csv"))
     assert sorted(tuple(r) for r in df.collect()) == [(1, 0.5, -2.0), (2, 3.0, 4.0), (3, 1.0, 1.0)]
+    (tmp_path / "bad.csv").write_text("1,0.5,-2\n2,x,4\n3,1\n4,1,1\n")
+    assert sorted(r["id"] for r in read_points_csv(spark, str(tmp_path / "bad.csv"), on_error="skip").collect()) == [1, 4]
+    with pytest.raises(Exception, match="malformed point"):
+        read_points_csv(spark, str(tmp_path / "bad.csv")).collect()
     write_topn(spark.createDataFrame([(1, 2.5), (2, 1.5)], "id long, lof double"), str(tmp_path / "top"))
     assert "".join(p.read_text() for p in (tmp_path / "top").glob("part*")) == "2,1.5\n1,2.5\n"
     with pytest.raises(ValueError):
         metric("cosine")
+    with pytest.raises(ValueError):
+        space("string")
+
+
+@pytest.mark.parametrize("plan, dims", [("grid", 2), ("clusters", 2), ("grid", 1), ("pivot", 3)])
+def test_command_line(spark, tmp_path, plan, dims):
+    points = [(i, *p[: min(dims, 2)], *([0.5 * (i % 7)] if dims == 3 else [])) for i, *p in some_points(4, 60)]
+    (tmp_path / "p.csv").write_text("".join(",".join(map(str, p)) + "\n" for p in points))
+    args = cli.parser().parse_args(["-k", "3", "-n", "5", "-i", str(tmp_path / "p.csv"), "-d", str(dims), "-o", str(tmp_path / "out"), "-p", plan])
+    want = sorted(brute(points, 3)[1].items(), key=lambda x: (-x[1], x[0]))[:5]
+    got = [(r["id"], r["lof"]) for r in cli.result(spark, args).collect()]
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+
+
+def test_halves_by_slices_equal_those_by_sorting(spark):
+    rng = random.Random(12)
+    points = [(i, rng.choice([1.0, 1.0, 1.0, 2.0, rng.uniform(0, 3)]), rng.gauss(0, 1)) for i in range(1001)]
+    df = spark.createDataFrame(points, POINTS)
+    by_sort = {r["id"]: r["bucket"] for r in P.median_buckets(df, 3).collect()}
+    assert {r["id"]: r["bucket"] for r in P.median_buckets(df, 3, most_sorted=100).collect()} == by_sort
+    parts = P.kd_buckets(df, 300, most_sorted=100)
+    assert {r["id"]: r["bucket"] for r in parts.collect()} == {r["id"]: r["bucket"] for r in P.kd_buckets(df, 300).collect()}
+    merged = P.merged_buckets(parts)
+    assert sum(r["n"] for r in merged.collect()) == 1001
+    assert P.bucket_of(parts, merged).count() == 1001
+
+
+def test_leaders_fold_in_order_of_id(spark):
+    points = [(i, float(x), 0.0) for i, x in enumerate([0, 1, 10, 2, 11, 30, 0.5])]
+    got = [tuple(r) for r in MC.leaders(spark.createDataFrame(points, POINTS).repartition(3), 3.0).orderBy("mc_id").collect()]
+    assert got == [(1, (0 + 1 + 2 + 0.5) / 4, 0.0), (2, 10.5, 0.0), (3, 30.0, 0.0)]
