@@ -12,8 +12,8 @@ shard's largest norm; so the graph is that of a metric. Reported scores are inne
 vectors in double precision. Equal vectors of a shard are one node that holds their smallest ids.
 
 Indexes are staged in the shared folder, so a lost executor costs only the search that it ran. Queries
-are a stated set, every ``QUERY_STEP``-th id; they are searched in blocks, and a task holds one shard and
-one block.
+are a stated set, every ``QUERY_STEP``-th id, in blocks. A shard's index is read once, by one task, to which the blocks of
+queries stream in order; the task holds one index and one block.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components and rows without id
 take no part; a repeated vec_id counts once, with its smallest vector; vectors of another length are in
@@ -24,10 +24,12 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,34 +188,49 @@ def _build_shard(k: int, m: int):
     return run
 
 
-def _search_shard(k: int, m: int, ef: int):
-    def run(index: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(index) or not len(block):
-            return empty
-        r, dim = index.iloc[0], int(index.iloc[0]["dim"])
-        x = np.frombuffer(r["vectors"]).reshape(-1, dim)
-        ids, owners = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["owners"], np.int64)
-        starts = np.searchsorted(owners, np.arange(len(x) + 1))
+class Shard:
+    """An index row, opened."""
+
+    def __init__(self, r: dict, m: int):
+        x = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
+        self.x, self.ids, owners = x, np.frombuffer(r["ids"], np.int64), np.frombuffer(r["owners"], np.int64)
+        self.starts = np.searchsorted(owners, np.arange(len(x) + 1))
         squares = (x**2).sum(axis=1)
         points = np.concatenate([x, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], axis=1)
-        layers = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(-1, 2 * m if i == 0 else m)) for i, (a, b) in enumerate(zip(r["nodes"], r["links"], strict=True))]
-        graph, out = Graph(points, layers), []
-        query_ids = np.frombuffer(block.iloc[0]["query_ids"], np.int64)
-        queries = np.frombuffer(block.iloc[0]["queries"]).reshape(-1, dim)
-        for a in range(0, len(queries), 512):
-            found = search(graph, queries[a : a + 512], max(ef, k + 1))
-            for query_id, query, nodes in zip(query_ids[a : a + 512], queries[a : a + 512], found, strict=True):
-                nodes = nodes[nodes >= 0]
-                score = np.ascontiguousarray(x[nodes] * query).sum(axis=1)
-                counts = starts[nodes + 1] - starts[nodes]
-                each = np.repeat(np.arange(len(nodes)), counts)
-                own = ids[np.repeat(starts[nodes] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(each))]
-                use = own != query_id
-                own, score = own[use], score[each][use]
-                best = np.lexsort((own, -score))[:k]
-                out.append((np.full(len(best), query_id), own[best], score[best]))
-        return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])}) if out else empty
+        self.graph = Graph(points, [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(-1, 2 * m if i == 0 else m)) for i, (a, b) in enumerate(zip(r["nodes"], r["links"], strict=True))])
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, own id, score) of the k best rows of each query."""
+        found = search(self.graph, queries, max(ef, k + 1))
+        for query_id, query, nodes in zip(query_ids, queries, found, strict=True):
+            nodes = nodes[nodes >= 0]
+            score = np.ascontiguousarray(self.x[nodes] * query).sum(axis=1)
+            counts = self.starts[nodes + 1] - self.starts[nodes]
+            each = np.repeat(np.arange(len(nodes)), counts)
+            own = self.ids[np.repeat(self.starts[nodes] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(each))]
+            use = own != query_id
+            own, score = own[use], score[each][use]
+            best = np.lexsort((own, -score))[:k]
+            yield np.full(len(best), query_id), own[best], score[best]
+
+
+def _search_shards(k: int, m: int, ef: int, at_once: int = 512):
+    """Rows in order of shard, an index before its blocks of queries, to (query_id, vec_id, score). One index is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, shard = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["ids"] is not None:
+                    name, shard = r["shard"], Shard(r, m)
+                    continue
+                if r["shard"] != name:
+                    continue  # queries of a length that this shard number has no rows for
+                query_ids, queries = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"]).reshape(-1, r["dim"])
+                for a in range(0, len(queries), at_once):
+                    out = list(shard.nearest(query_ids[a : a + at_once], queries[a : a + at_once], k, ef))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -240,8 +257,9 @@ def nearest(embeddings: DataFrame, k: int = 20, query_step: int = QUERY_STEP, sh
     index = stage(dealt.select("shard", "vec_id", "embedding").groupBy("shard").applyInPandas(_build_shard(k, m), INDEX), "hnsw")
     asked = good.where(F.pmod("vec_id", F.lit(query_step)) == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)))
     asked = asked.groupBy("dim", "block").applyInPandas(_pack_block, "dim int, block long, query_ids binary, queries binary")
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.col("dim").cast("long") * shards, F.col("dim").cast("long") * shards + (shards - 1)))).drop("dim")
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search_shard(k, m, ef), "query_id long, vec_id long, score double")
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.col("dim").cast("long") * shards, F.col("dim").cast("long") * shards + (shards - 1))))
+    both = index.withColumn("block", F.lit(-1).cast("long")).unionByName(asked, allowMissingColumns=True)
+    parts = max(shards, int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = both.repartition(parts, "shard").sortWithinPartitions("shard", "block").mapInArrow(_search_shards(k, m, ef), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,3 +47,16 @@ def test_recall_on_clusters_without_shards():
     score = x[::50] @ x.T
     want = np.argsort(-score, axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), want.tolist(), strict=True)]) >= 0.9
+
+
+def test_recall_with_shards_of_production_size(spark):
+    rng = np.random.default_rng(7)
+    n = 2 * hnsw.SHARD_ROWS + 500
+    x = (rng.normal(size=(200, 32))[rng.integers(0, 200, n)] + rng.normal(size=(n, 32)) * 0.5).astype(np.float32)
+    rows = [(i, v, 0, "x") for i, v in enumerate(x.tolist())]
+    got = {}
+    for r in hnsw.nearest(spark.createDataFrame(rows, VECS), k=20, query_step=100, query_block=64).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute(rows, 20, 100)
+    assert got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
