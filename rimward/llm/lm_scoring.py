@@ -281,6 +281,18 @@ def learn_weights(b: np.ndarray, p1: np.ndarray, p2: np.ndarray, times: np.ndarr
     return weights
 
 
+def _learn(words: int):
+    """A context bucket's histogram to its weights: the buckets are learned apart, and only their weights reach the driver."""
+
+    def run(steps: pd.DataFrame) -> pd.DataFrame:
+        steps = steps.sort_values(["p1", "p2"])  # sums in one order, so that reruns agree
+        b = steps["b"].to_numpy(np.int64)
+        found = learn_weights(b, *(steps[c].to_numpy(np.int64) for c in ("p1", "p2", "times")), words)[b[0]]
+        return pd.DataFrame([[b[0], *found]], columns=["b", "w0", "w1", "w2"])
+
+    return run
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -322,6 +334,9 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_chars: int =
 
     total = counted.select("flags").mapInArrow(sizes, "n long, gone long").agg(F.sum("n"), F.sum("gone")).first()
     train_tokens, deleted_tokens = total[0] or 0, total[1] or 0
-    steps = counted.mapInArrow(_held_out_steps(train_tokens, deleted_tokens), "b long, p1 long, p2 long, times long").groupBy("b", "p1", "p2").agg(F.sum("times").alias("times")).orderBy("b", "p1", "p2").toPandas()
-    weights = learn_weights(*(steps[c].to_numpy(np.int64) for c in ("b", "p1", "p2", "times")), words)
+    steps = counted.mapInArrow(_held_out_steps(train_tokens, deleted_tokens), "b long, p1 long, p2 long, times long").groupBy("b", "p1", "p2").agg(F.sum("times").alias("times"))
+    learned = steps.groupBy("b").applyInPandas(_learn(words), "b long, w0 double, w1 double, w2 double").collect()  # a row for each of few buckets
+    weights = learn_weights(*[np.zeros(0, np.int64)] * 4, words)
+    for r in learned:
+        weights[r["b"]] = r["w0"], r["w1"], r["w2"]
     return counted.mapInArrow(_scores(weights, train_tokens, words), SCORED)
