@@ -11,7 +11,7 @@ array is evaluated again for each element.
 
 The edited text of the contract needs each document's neighbour in descending doc_id order. Documents go
 to ranges of doc_id (bounds from approximate quantiles, at most ``MOST_RANGES`` numbers on the
-driver), one shuffle of the texts; the first document of a range is also sent to the range before it, so a
+driver, and even parts between them), one shuffle of the texts; the first document of a range is also sent to the range before it, so a
 window inside each range finds every neighbour.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint, like 1 to another empty one
@@ -28,13 +28,17 @@ from pyspark.sql import functions as F
 K, S = 5, 2
 SKETCH = 64
 RANGE_DOCS = 512
+#: Quantiles of doc_id that the driver holds; beyond, the stretches between them are cut evenly.
 MOST_RANGES = 4096
+#: Heads of ranges that are broadcast, at most.
+MOST_SENT = 200_000
 
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataFrame:
-    """``df`` with ``out``: the sorted sketch of the column ``text``."""
+def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH, places: str | None = None) -> DataFrame:
+    """``df`` with ``out``: the sorted sketch of the column ``text``, and, if asked for, with ``places``: all kept k-mers as
+    position * 2^31 + hash, the position counted in words from 0."""
     c = F.col
     df = df.withColumn("_t", F.btrim(c(text), F.lit(BLANKS)))
     df = df.withColumn("_h", F.when(c("_t") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))))
@@ -55,6 +59,9 @@ def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataF
     short = F.array(F.xxhash64("_h").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     kept = F.when(F.size("_h") == 0, F.array().cast("array<int>")).when(~c("_long"), short).when(F.size("_kept") == 0, c("_k")).otherwise(c("_kept"))
     df = df.withColumn(out, F.slice(F.sort_array(F.array_distinct(kept)), 1, size))
+    if places:
+        placed = F.transform(F.zip_with("_closed", "_k", lambda keep, k: F.when(keep, k)), lambda k, i: i.cast("long") * (1 << 31) + k)
+        df = df.withColumn(places, F.filter(placed, lambda x: x.isNotNull()))
     return df.drop("_t", "_h", "_n", "_long", "_g", "_p", "_q", "_k", "_closed", "_kept")
 
 
@@ -80,32 +87,41 @@ def likeness(a: str, b: str, size: int = SKETCH) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.greatest(F.size(union), F.lit(1))).cast("double")
 
 
-def _range_of(bounds: list[int]) -> Column:
-    """How many bounds are at most doc_id, by binary search in a constant array; -1 for null."""
+def _range_of(low: int, bounds: list[int], high: int, parts: int) -> Column:
+    """The number of the range that holds doc_id, -1 for null: the stretch between two bounds, found by binary search in a
+    constant array, and the even part of that stretch."""
     if not bounds:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    held = F.array(*[F.lit(b).cast("long") for b in bounds])
-    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
-    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(held, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(found)
-
-
-def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
+        found, low_of, high_of = F.lit(0), F.lit(low), F.lit(high + 1)
+    else:
+        held, lows, highs = (F.expr(f"array({', '.join(f'{v}L' for v in x)})") for x in (bounds, [low, *bounds], [*bounds, high + 1]))
+        steps = F.expr(f"array({', '.join(str(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1))})")
+        found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(held, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at))
+        low_of, high_of = F.get(lows, found), F.get(highs, found)
+    if parts == 1:
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(found).cast("long")
+    share = (F.col("doc_id").cast("double") - low_of) / F.greatest(F.lit(1.0), high_of.cast("double") - low_of)
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts)))
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(found.cast("long") * parts + part).cast("long")
+
+
+def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS, most_bounds: int = MOST_RANGES) -> DataFrame:
     """doc_id, text, sketch, and next_text and next_sketch of the next document in descending doc_id order, the first after the last."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ranges = min(MOST_RANGES, max(1, rows.count() // range_docs))
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    ranges = max(1, ends["n"] // range_docs)
+    cuts = min(most_bounds, ranges)
     bounds = []
-    if ranges > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 8 * ranges)).first()[0]
+    if cuts > 1:
+        found = rows.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 8 * cuts)).first()[0]
         bounds = sorted(set(found or []))
-    ids = rows.select("doc_id", _range_of(bounds).alias("range"))
-    heads = [(r["range"], r["top"]) for r in ids.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy(F.desc("range")).collect()]  # a row for each range
-    sketched = with_sketch(rows, "text", "sketch")
-    inside = sketched.withColumn("range", _range_of(bounds)).withColumn("guest", F.lit(0))
-    after = [(heads[i][0], heads[(i + 1) % len(heads)][1]) for i in range(len(heads))]
-    guests = spark.createDataFrame(after, "range int, _head long")  # as many rows as ranges
-    sent = with_sketch(rows.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("_head"))), "text", "sketch")
+    number = _range_of(ends["low"] or 0, bounds, ends["high"] or 0, -(-ranges // cuts))
+    # the first document of the next range below, of the first range after the last one; a row for each range
+    order = Window.orderBy(F.desc("range"))
+    tops = rows.select("doc_id", number.alias("range")).groupBy("range").agg(F.max("doc_id").alias("top"))
+    after = tops.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())).select("range", F.when(F.row_number().over(order) < F.col("_n"), F.lead("top").over(order)).otherwise(F.first("top").over(order)).alias("_head"))
+    guests = after.select(F.col("range"), "_head")
+    inside = with_sketch(rows, "text", "sketch").withColumn("range", number).withColumn("guest", F.lit(0))
+    sent = with_sketch(rows.join(F.broadcast(guests) if ranges <= MOST_SENT else guests, F.col("doc_id").eqNullSafe(F.col("_head"))), "text", "sketch")
     both = inside.unionByName(sent.withColumn("guest", F.lit(1)).drop("_head"))
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     both = both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
@@ -113,10 +129,13 @@ def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
 
 
 def compare_edited(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and by position, from all anchors of
+    both texts: anchors (how many the text has), anchors_kept (how many the edited text has at the same place), same_words (where the last of these ends)."""
     both = with_next(docs, range_docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    both = both.select("doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch")
-    both = with_sketch(both, "edited", "edited_sketch")
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text("sketch").alias("fingerprint"), as_text("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"))
+    both = both.select("doc_id", "text", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch")
+    both = with_sketch(both, "edited", "edited_sketch", places="_edited_places")
+    both = with_sketch(both, "text", "_same", places="_places").withColumn("_shared", F.array_intersect("_places", "_edited_places"))
+    until = F.coalesce(F.shiftright(F.array_max("_shared"), 31) + K, F.lit(0))
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text("sketch").alias("fingerprint"), as_text("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"), F.size("_places").cast("long").alias("anchors"), F.size("_shared").cast("long").alias("anchors_kept"), until.cast("long").alias("same_words"))

@@ -48,6 +48,40 @@ def test_contract_on_awkward_rows(spark):
     assert syncmers.compare_edited(empty(spark)).count() == 0
 
 
+def test_ranges_beyond_the_bounds_and_positions(spark):
+    rows = sorted(awkward_rows(), key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    after = [(r[0], r[1] or "", rows[(i + 1) % len(rows)][1] or "") for i, r in enumerate(rows)]
+    found = syncmers.with_next(awkward(spark), 3, most_bounds=4).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["next_text"]) for r in found))) == sorted(map(repr, after))
+    texts, edits = [], []
+    for _, text, other in after:
+        half = len(text) // 2
+        texts.append(text)
+        edits.append(text[: len(text) - half] + other[:half])
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts, edits, strict=True))], "i int, a string, b string")
+    placed = [{r["i"]: {(x["position"], x["hash"]) for x in r["anchors"]} for r in syncmers.anchors(pairs.select("i", F.col(c).alias("text"))).collect()} for c in "ab"]
+    want = sorted((len(placed[0][i]), len(placed[0][i] & placed[1][i]), max((p + 5 for p, _ in placed[0][i] & placed[1][i]), default=0)) for i in range(len(texts)))
+    assert sorted((r["anchors"], r["anchors_kept"], r["same_words"]) for r in syncmers.compare_edited(awkward(spark)).collect()) == want
+
+
+def test_near_values_follow_the_sketches(spark):
+    """Likeness as defined: the share of the union's smallest hashes that both hold."""
+    found = syncmers.compare_edited(awkward(spark)).collect()
+    cut = lambda s: {s[i : i + 8] for i in range(0, len(s), 8)}
+    prints = [r["fingerprint"] for r in sorted(found, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))]
+
+    def like(a, b):
+        a, b = cut(a), cut(b)
+        union = set(sorted(a | b)[: syncmers.SKETCH])
+        return len(a & b & union) / len(union) if union else 1.0
+
+    for r in found:
+        assert r["near_edited"] == pytest.approx(like(r["fingerprint"], r["edited_fingerprint"]))
+    unique = [r for r in found if r["doc_id"] is not None and 10 <= r["doc_id"] < 60]
+    by_id = {r["doc_id"]: r["fingerprint"] for r in unique}
+    assert prints and all(r["near_next"] == pytest.approx(like(r["fingerprint"], by_id[r["doc_id"] - 1])) for r in unique if r["doc_id"] - 1 in by_id)
+
+
 def test_anchors_and_sketches_follow_the_definition(spark):
     import random
 
