@@ -341,9 +341,10 @@ def first_candidates(shared: DataFrame, least: float) -> DataFrame:
     one text of the whole key that has the fewest rare shingles, which is the centre of a group of edited copies."""
     none = F.lit(None).cast(shared.schema["held"].dataType)
     inside = shared.select("held", none.alias("other")).mapInArrow(_candidates(least, FEW), PAIRS)
-    cut = shared.where("parts > 1").select("key", "held")
-    heads = cut.groupBy("key").agg(F.min(F.get("held", F.lit(0))).alias("_head"))
-    across = cut.join(heads, "key").select("held", F.array("_head").cast(shared.schema["held"].dataType).alias("other")).mapInArrow(_candidates(least), PAIRS)
+    cut = shared.where("parts > 1").select("key", "part", "parts", "held")
+    heads = cut.groupBy("key", "parts").agg(F.min(F.get("held", F.lit(0))).alias("_head"))
+    heads = heads.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "_head")  # a key's blocks stay apart
+    across = cut.join(heads, ["key", "part"]).select("held", F.array("_head").cast(shared.schema["held"].dataType).alias("other")).mapInArrow(_candidates(least), PAIRS)
     return inside.unionAll(across).distinct()
 
 
@@ -353,15 +354,17 @@ def other_candidates(shared: DataFrame, tops: DataFrame, least: float, block: in
     At each such key, the texts outside its largest component are dealt to blocks and each block meets all blocks of the key:
     what is compared grows with the texts that are still apart, not with the square of a group.
     """
-    rows = shared.where((F.size("held") > FEW) | (F.col("parts") > 1)).select("key", "part", F.explode("held").alias("_x")).select("key", "part", "_x.pos", "_x.n", "_x.node")
+    rows = shared.where((F.size("held") > FEW) | (F.col("parts") > 1)).select("key", "part", "parts", F.explode("held").alias("_x")).select("key", "part", "parts", "_x.pos", "_x.n", "_x.node")
     rows = rows.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    sizes = rows.groupBy("key", "top").agg(F.count(F.lit(1)).alias("_n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("_n", "top")).alias("_m"), F.sum("_n").alias("_all")).where("_all > _m._n").select("key", F.col("_m.top").alias("_main"), F.ceil((F.col("_all") - F.col("_m._n")) / block).alias("_parts"))
-    mixed = rows.join(main, "key")
+    sizes = rows.groupBy("key", "parts", "top").agg(F.count(F.lit(1)).alias("_n"))
+    main = sizes.groupBy("key", "parts").agg(F.max(F.struct("_n", "top")).alias("_m"), F.sum("_n").alias("_all")).where("_all > _m._n")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")  # a key's blocks stay apart in all that follows
+    main = main.select("key", every, F.col("_m.top").alias("_main"), F.ceil((F.col("_all") - F.col("_m._n")) / block).alias("_asks"))
+    mixed = rows.join(main, ["key", "part"])
     members = F.collect_list(F.struct("pos", "n", "node", "top"))
     whole = mixed.groupBy("key", "part").agg(members.alias("other"))
-    asked = mixed.where("top <> _main").groupBy("key", F.pmod(F.xxhash64("node"), F.col("_parts")).alias("_ask")).agg(members.alias("held"))
-    met = asked.join(whole, "key").select("held", "other")
+    asked = mixed.where("top <> _main").groupBy("key", "parts", F.pmod(F.xxhash64("node"), F.col("_asks")).alias("_ask")).agg(members.alias("held"))
+    met = asked.select("key", every, "held").join(whole, ["key", "part"]).select("held", "other")
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count that is kept: work does not follow bytes
     return met.repartition(parts, F.xxhash64("held", "other")).mapInArrow(_candidates(least), PAIRS).distinct()
 
