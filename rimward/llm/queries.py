@@ -77,5 +77,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Base32 of a SHA-1 in hex: sign i stands for the bits from 5 i on.
+_BIT = "(strpos('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 5 * i // 4 + 2, 1)) - 1"
+OP3 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, max(page_id) AS first FROM p GROUP BY html)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({_BIT}) >> (3 - (5 * i) % 4)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+FROM p JOIN f ON f.html = p.html"""
+
+OP10 = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+sum(24 + length(role) + length(role) - length(replace(replace(role, '\', ''), chr(10), '')) + length(regexp_extract_all(role, '<\\*\|')) + length(text) + length(regexp_extract_all(text, '<\\*\|'))) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has neither the tokenizer, the hashes nor the fitted models of the other operators."""
+    return {"op3_warc": OP3, "op10_chat_formatting": OP10}
