@@ -136,9 +136,11 @@ class Range:
 
     In the first range of a file every member starts where the one before it ends. In another range, what comes
     before the first member that decodes whole may belong to the range before, and is left in ``early``.
+    A damaged member fails the job or, with ``skip``, is left out, and the reader goes on at the next magic.
     """
 
-    def __init__(self, first: bool):
+    def __init__(self, first: bool, skip: bool = False):
+        self.skip = skip
         self.early: list[bytes] = []
         self.synced, self.pending, self.start = first, None, 0
 
@@ -150,7 +152,10 @@ class Range:
             else:
                 state = self.pending.feed(MAGIC + stretch)
             if state == "bad":
-                raise ValueError("an archive holds a damaged member")
+                if not self.skip:
+                    raise ValueError("an archive holds a damaged member")
+                later, self.pending = self.pending.raw[1:], None
+                return [x for y in later for x in self.add(y.removeprefix(MAGIC))]
             return self._whole() if state == "whole" else []
         self.early.append(stretch)
         while self.start < len(self.early):
@@ -192,6 +197,8 @@ def parse(data: bytes, payload: bool) -> tuple | None:
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         fields[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+    if not fields.get(b"content-length", "").isdigit() or b"warc-type" not in fields:
+        raise ValueError("a record lacks its type or length")
     block = rest[: int(fields[b"content-length"])]
     http, _, body = block.partition(b"\r\n\r\n")
     kind = fields[b"warc-type"]
@@ -208,12 +215,23 @@ def parse(data: bytes, payload: bool) -> tuple | None:
     return name, as_id(name), kind, fields.get(b"warc-target-uri"), as_id(fields.get(b"warc-refers-to")), body if payload and kind != "revisit" else None, size, sha1
 
 
+def records(members: list[bytes], payload: bool, skip: bool) -> Iterator[tuple]:
+    """The records of whole members; one that cannot be parsed fails the job or, with ``skip``, is left out."""
+    for data in members:
+        try:
+            if found := parse(data, payload):
+                yield found
+        except ValueError:
+            if not skip:
+                raise
+
+
 RECORD = [("record_id", "string", pa.string()), ("page_id", "long", pa.int64()), ("record_type", "string", pa.string()), ("uri", "string", pa.string()), ("refers_to", "long", pa.int64()), ("payload", "binary", pa.binary()), ("payload_bytes", "long", pa.int64()), ("payload_digest", "string", pa.string())]
 PART = [("part_file", "string", pa.string()), ("part_boundary", "long", pa.int64()), ("part_no", "int", pa.int32()), ("part", "binary", pa.binary())]
 COLUMNS = [c[0] for c in RECORD]
 
 
-def _scan(payload: bool):
+def _scan(payload: bool, skip: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now, out, size = None, None, [], 0
         none = (None,) * len(RECORD)
@@ -230,13 +248,12 @@ def _scan(payload: bool):
                 if where != at:
                     if now:
                         close()
-                    at, now = where, Range(where[1] == 0)
+                    at, now = where, Range(where[1] == 0, skip)
                     if where[1] == 0:  # before the first magic of a file
                         continue
-                for data in now.add(stretch.as_py() or b""):
-                    if found := parse(data, payload):
-                        out.append((*found, None, None, None, None))
-                        size += len(found[5] or b"") + 200
+                for found in records(now.add(stretch.as_py() or b""), payload, skip):
+                    out.append((*found, None, None, None, None))
+                    size += len(found[5] or b"") + 200
                 if size > 4_000_000:
                     yield batch_of(out)
                     out, size = [], 0
@@ -248,40 +265,37 @@ def _scan(payload: bool):
     return run
 
 
-def _join_parts(payload: bool):
+def _join_parts(payload: bool, skip: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for parts in batch["parts"].to_pylist():
-                whole = None
-                for p in parts:
-                    whole = whole or Member()
-                    state = whole.feed(p["part"])
-                    if state == "bad":
-                        raise ValueError("an archive holds a damaged member")
-                    if state == "whole":
-                        if found := parse(whole.data(), payload):
-                            rows.append(found)
-                        whole = None
-                if whole:
+                # the open end of a range, then what the ranges after it could not place
+                reader = Range(True, skip)
+                rows += [x for p in parts for x in records(reader.add(p["part"].removeprefix(MAGIC)), payload, skip)]
+                if reader.pending is not None and not skip:
                     raise ValueError("an archive ends inside a record")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t[2]) for i, t in enumerate(RECORD)], COLUMNS)
 
     return run
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, on_damage: str = "fail") -> DataFrame:
     """The records below ``path``: record_id, page_id, record_type, uri, refers_to, payload (null for
-    revisits or if not asked for), payload_bytes and payload_digest of the full payload."""
+    revisits or if not asked for), payload_bytes and payload_digest of the full payload. A damaged member or record
+    fails the job; with ``on_damage="skip"`` it is left out and all others are read."""
+    if on_damage not in ("fail", "skip"):
+        raise ValueError("on_damage is 'fail' or 'skip'")
+    skip = on_damage == "skip"
     text = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     stretches = text.select(F.col("value").cast("binary").alias("stretch"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length"))
-    scanned = stretches.mapInArrow(_scan(payload), ", ".join(f"{n} {t}" for n, t, _ in RECORD + PART))
+    scanned = stretches.mapInArrow(_scan(payload, skip), ", ".join(f"{n} {t}" for n, t, _ in RECORD + PART))
     if not payload:
         scanned = stage(scanned, "warc-records")
     order = Window.partitionBy("part_file").orderBy("part_boundary", "part_no")
     parts = scanned.where("part is not null").withColumn("_open", F.sum(F.when(F.col("part_no") == 0, 1).otherwise(0)).over(order))
     parts = parts.groupBy("part_file", "_open").agg(F.sort_array(F.collect_list(F.struct("part_boundary", "part_no", "part"))).alias("parts"))
-    joined = parts.select("parts").mapInArrow(_join_parts(payload), ", ".join(f"{n} {t}" for n, t, _ in RECORD))
+    joined = parts.select("parts").mapInArrow(_join_parts(payload, skip), ", ".join(f"{n} {t}" for n, t, _ in RECORD))
     return scanned.where("part is null").select(*COLUMNS).unionByName(joined)
 
 

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from rimward.llm import warc
 
 PAGES = "page_id long, url string, html string, record_type string"
@@ -50,6 +52,30 @@ def test_files_are_plain_gzip(spark, tmp_path):
     assert path and text.count(b"WARC/1.1\r\n") == len(rows())
 
 
+def test_damaged_members_are_skipped_or_fail(spark, tmp_path):
+    rng = random.Random(8)
+    good = {i: bytes(rng.randrange(256) for _ in range(300)) for i in range(30)}
+    members = [warc.member(warc.record(i, "u", p, warc.digest(p), None, False)) for i, p in good.items()]
+    broken = bytearray(members[7])
+    broken[40] ^= 255
+    members[7] = bytes(broken)
+    members[12] = members[12][:60]  # cut off
+    members[20] = warc.member(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length")
+    (tmp_path / "a.warc").write_bytes(b"".join(members))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (211, 1500, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            found = {r["page_id"]: r["payload"] for r in warc.read_archives(spark, str(tmp_path / "a.warc"), on_damage="skip").collect()}
+            assert found == {i: p for i, p in good.items() if i not in (7, 12, 20)}, size
+            with pytest.raises(Exception, match="damaged|lacks|inside"):
+                warc.read_archives(spark, str(tmp_path / "a.warc")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_small_ranges_and_chance_magics(spark, tmp_path):
     """A stored deflate block keeps the payload as it is, with the magic in it, so ranges cut members in odd places."""
     rng = random.Random(4)
