@@ -50,7 +50,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of a batch that goes to a Python worker while a table is staged. A task holds a few batches on both sides.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

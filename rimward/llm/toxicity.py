@@ -69,7 +69,7 @@ class OrdinalModel:
             known = self._known = {}
         sums = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            if len(known) > 500_000:
+            if len(known) > 150_000:
                 known.clear()
             found: set[int] = set()
             for word in words_of(text):

@@ -24,6 +24,39 @@ def test_finds_planted_words_and_grades_them():
     assert severity.min() >= 0 and severity.max() <= toxicity.GRADES - 1
 
 
+def test_fit_minimises_the_penalised_likelihood():
+    """The objective is written out anew here; no small change of a weight or threshold may lower it."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 12)).astype(np.uint32) for _ in range(300)]
+    toxic = np.array([int(rng.random() < (0.8 if (x < 4).any() else 0.15)) for x in rows])
+    penalty = 0.01
+    model = toxicity.fit(rows, toxic, penalty, steps=4000, least=1, most=100)
+    names, score = toxicity.telling(rows, toxic, 1)
+    y = toxicity.grades(rows, toxic, names, score)
+    assert set(y) == {0, 1, 2, 3} and model.weights
+    weight = min(5.0, (y == 0).sum() / (y > 0).sum())
+
+    def objective(weights, thresholds):
+        edges = [-np.inf, *thresholds, np.inf]
+        total = 0.0
+        for x, k in zip(rows, y, strict=True):
+            s = sum(weights.get(int(f), 0.0) for f in x)
+            below = lambda t: 1 / (1 + np.exp(min(700.0, s - t)))
+            total -= (weight if k else 1.0) * np.log(below(edges[k + 1]) - below(edges[k]))
+        return total / len(rows) + penalty * sum(map(abs, weights.values()))
+
+    least = objective(model.weights, model.thresholds)
+    for step in (0.02, -0.02):
+        for f in range(40):
+            assert objective({**model.weights, f: model.weights.get(f, 0.0) + step}, model.thresholds) >= least - 1e-6
+        for i in range(3):
+            assert objective(model.weights, [t + step * (i == j) for j, t in enumerate(model.thresholds)]) >= least - 1e-6
+    found = model.expected(np.array([sum(model.weights.get(int(f), 0.0) for f in x) for x in rows[:20]]))
+    for x, e in zip(rows, found, strict=False):
+        s = sum(model.weights.get(int(f), 0.0) for f in x)
+        assert e == pytest.approx(sum(1 - 1 / (1 + np.exp(s - t)) for t in model.thresholds))
+
+
 def test_awkward_rows_and_missing_labels(spark):
     docs = awkward(spark).withColumnRenamed("lang", "severity")
     labels = spark.createDataFrame([(i, i % 2 if i % 5 else None, 1) for i in range(30)] + [(None, 1, 1), (3, 1, 1)], "doc_id long, toxic int, quality int")
