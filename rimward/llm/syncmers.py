@@ -3,8 +3,9 @@
 The alphabet is words, hashed to 64 bits. A k-mer of 5 words is kept if the smallest of its inner
 2-word substrings lies at its first or last place. Whether it is kept depends on its own words alone, so
 equal passages give equal anchors wherever they stand, and at least one k-mer of every few is kept. A
-fingerprint is the sketch of the ``SKETCH`` smallest distinct hashes of kept k-mers, 31 bits each;
-the likeness of two is the Jaccard estimate from the smallest hashes of their union.
+fingerprint is the set of the distinct hashes of all kept k-mers, 31 bits each and sorted, so it grows with
+the text; the likeness of two is the Jaccard similarity of these sets. ``with_sketch`` can keep the smallest hashes only,
+``likeness`` then estimates.
 
 All steps are array functions of one row; element-wise functions get whole arrays as arguments, so no
 array is evaluated again for each element.
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 5, 2
-SKETCH = 64
+#: Hashes of a fingerprint, at most; None for all.
+SKETCH: int | None = None
 RANGE_DOCS = 512
 #: Quantiles of doc_id that the driver holds; beyond, the stretches between them are cut evenly.
 MOST_RANGES = 4096
@@ -36,7 +38,7 @@ MOST_SENT = 200_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH, places: str | None = None) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, out: str, size: int | None = SKETCH, places: str | None = None) -> DataFrame:
     """``df`` with ``out``: the sorted sketch of the column ``text``, and, if asked for, with ``places``: all kept k-mers as
     position * 2^31 + hash, the position counted in words from 0."""
     c = F.col
@@ -58,7 +60,8 @@ def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH, places:
     df = df.withColumn("_kept", F.filter(F.zip_with("_closed", "_k", lambda keep, k: F.when(keep, k)), lambda x: x.isNotNull()))
     short = F.array(F.xxhash64("_h").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     kept = F.when(F.size("_h") == 0, F.array().cast("array<int>")).when(~c("_long"), short).when(F.size("_kept") == 0, c("_k")).otherwise(c("_kept"))
-    df = df.withColumn(out, F.slice(F.sort_array(F.array_distinct(kept)), 1, size))
+    hashes = F.sort_array(F.array_distinct(kept))
+    df = df.withColumn(out, hashes if size is None else F.slice(hashes, 1, size))
     if places:
         placed = F.transform(F.zip_with("_closed", "_k", lambda keep, k: F.when(keep, k)), lambda k, i: i.cast("long") * (1 << 31) + k)
         df = df.withColumn(places, F.filter(placed, lambda x: x.isNotNull()))
@@ -81,10 +84,15 @@ def as_text(sketch: str | Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def likeness(a: str, b: str, size: int = SKETCH) -> Column:
-    """The Jaccard estimate of two sorted sketches, from 0 to 1."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.greatest(F.size(union), F.lit(1))).cast("double")
+def likeness(a: str, b: str, size: int | None = SKETCH) -> Column:
+    """The Jaccard similarity of two sorted sketches, from 0 to 1; of limited ones, its estimate."""
+    if size is None:
+        shared = F.size(F.array_intersect(a, b))
+        share = shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
+    else:
+        union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
+        share = F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.greatest(F.size(union), F.lit(1))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share).cast("double")
 
 
 def _range_of(low: int, bounds: list[int], high: int, parts: int) -> Column:
@@ -105,7 +113,7 @@ def _range_of(low: int, bounds: list[int], high: int, parts: int) -> Column:
 
 
 def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS, most_bounds: int = MOST_RANGES) -> DataFrame:
-    """doc_id, text, sketch, and next_text and next_sketch of the next document in descending doc_id order, the first after the last."""
+    """doc_id, text, and next_text of the next document in descending doc_id order, the first after the last."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     ranges = max(1, ends["n"] // range_docs)
@@ -120,11 +128,11 @@ def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS, most_bounds: int =
     tops = rows.select("doc_id", number.alias("range")).groupBy("range").agg(F.max("doc_id").alias("top"))
     after = tops.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())).select("range", F.when(F.row_number().over(order) < F.col("_n"), F.lead("top").over(order)).otherwise(F.first("top").over(order)).alias("_head"))
     guests = after.select(F.col("range"), "_head")
-    inside = with_sketch(rows, "text", "sketch").withColumn("range", number).withColumn("guest", F.lit(0))
-    sent = with_sketch(rows.join(F.broadcast(guests) if ranges <= MOST_SENT else guests, F.col("doc_id").eqNullSafe(F.col("_head"))), "text", "sketch")
+    inside = rows.withColumn("range", number).withColumn("guest", F.lit(0))
+    sent = rows.join(F.broadcast(guests) if ranges <= MOST_SENT else guests, F.col("doc_id").eqNullSafe(F.col("_head")))
     both = inside.unionByName(sent.withColumn("guest", F.lit(1)).drop("_head"))
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    both = both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
+    both = both.withColumn("next_text", F.lead("text").over(order))
     return both.where("guest = 0").drop("guest", "range")
 
 
@@ -134,8 +142,9 @@ def compare_edited(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
     both = with_next(docs, range_docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    both = both.select("doc_id", "text", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch")
-    both = with_sketch(both, "edited", "edited_sketch", places="_edited_places")
-    both = with_sketch(both, "text", "_same", places="_places").withColumn("_shared", F.array_intersect("_places", "_edited_places"))
+    both = both.select("doc_id", "text", "next_text", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    both = with_sketch(both, "next_text", "next_sketch").drop("next_text")
+    both = with_sketch(both, "edited", "edited_sketch", places="_edited_places").drop("edited")
+    both = with_sketch(both, "text", "sketch", places="_places").withColumn("_shared", F.array_intersect("_places", "_edited_places"))
     until = F.coalesce(F.shiftright(F.array_max("_shared"), 31) + K, F.lit(0))
     return both.select("doc_id", "n_chars", "edited_sha256", as_text("sketch").alias("fingerprint"), as_text("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"), F.size("_places").cast("long").alias("anchors"), F.size("_shared").cast("long").alias("anchors_kept"), until.cast("long").alias("same_words"))
