@@ -517,15 +517,20 @@ def mc_members(spark, sf_dir):
 
 
 #: A lattice of parts, clustered by twos, with some parts far from it and from each other: the lattice can be pruned.
-LATTICE = """lat AS (SELECT p_partkey AS id, CAST(p_partkey % 100 AS DOUBLE) AS x, CAST(p_partkey // 100 AS DOUBLE) AS y, (p_partkey // 500) % 4 AS j, p_partkey // 2000 + 1 AS m, p_partkey % 500 = 0 AS far FROM part),
-pts AS (SELECT *, CAST(floor(x / 2) * 1000000 + floor(y) AS BIGINT) AS brand FROM (SELECT id, CASE WHEN NOT far THEN x WHEN j = 0 THEN -60.0 * m WHEN j = 1 THEN 160.0 * m ELSE 50 END AS x, CASE WHEN NOT far THEN y WHEN j = 2 THEN -50.0 * m WHEN j = 3 THEN 80.0 * m ELSE 10 END AS y FROM lat))"""
+def _lattice(scale: float) -> str:
+    return f"""lat AS (SELECT p_partkey AS id, CAST(p_partkey % 100 AS DOUBLE) AS x, CAST(p_partkey // 100 AS DOUBLE) AS y, (p_partkey // 500) % 4 AS j, p_partkey // 2000 + 1 AS m, p_partkey % 500 = 0 AS far FROM part),
+pts AS (SELECT *, CAST(floor(x / 2) * 1000000 + floor(y) AS BIGINT) AS brand FROM (SELECT id, CASE WHEN NOT far THEN x WHEN j = 0 THEN {-60.0 * scale} * m WHEN j = 1 THEN {160.0 * scale} * m ELSE 50 END AS x, CASE WHEN NOT far THEN y WHEN j = 2 THEN {-50.0 * scale} * m WHEN j = 3 THEN {80.0 * scale} * m ELSE 10 END AS y FROM lat))"""
 
 
-def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: ``WIDE`` has its far parts ten times as far.
+LATTICE, WIDE = _lattice(1), _lattice(10)
+
+
+def lattice(spark: SparkSession, sf_dir: str, scale: float = 1) -> DataFrame:
     key = F.col("p_partkey")
     j, m, near = F.floor(key / 500) % 4, F.floor(key / 2000) + 1, key % 500 != 0
-    x = F.when(near, key % 100).when(j == 0, -60.0 * m).when(j == 1, 160.0 * m).otherwise(50)
-    y = F.when(near, F.floor(key / 100)).when(j == 2, -50.0 * m).when(j == 3, 80.0 * m).otherwise(10)
+    x = F.when(near, key % 100).when(j == 0, -60.0 * scale * m).when(j == 1, 160.0 * scale * m).otherwise(50)
+    y = F.when(near, F.floor(key / 100)).when(j == 2, -50.0 * scale * m).when(j == 3, 80.0 * scale * m).otherwise(10)
     points = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
     return points.withColumn("brand", (F.floor(F.col("x") / 2) * 1000000 + F.floor("y")).cast("long"))
 
@@ -547,6 +552,29 @@ def lof_micro_cluster_plan_lattice(spark, sf_dir):
     return S.micro_cluster(points.drop("brand"), MC.centroids_by(points, "brand"), LofConfig(n=4))
 
 
+@query(TOP_SQL)
+def lof_small_cells_plan(spark, sf_dir):
+    return S.small_cells(parts(spark, sf_dir), CONFIG)
+
+
+@query(_with(WIDE, _knn(), LOF, select=TOP.replace("10", "4")))
+def lof_small_cells_plan_lattice(spark, sf_dir):
+    return S.small_cells(lattice(spark, sf_dir, 10).drop("brand"), LofConfig(n=4))
+
+
+#: The cells of merged buckets at a threshold of 50.
+DENSE = """mb AS (SELECT k.id, k.x, k.y, m.bucket, m.cp_dist FROM kd0 k JOIN (SELECT *, CAST(floor(log2(bucket) + 0.000001) AS INT) AS depth FROM m1) m ON CASE WHEN k.depth >= m.depth THEN k.bucket >> (k.depth - m.depth) END = m.bucket),
+sz AS (SELECT *, least(50.0 * greatest(cp - 0.000001, 0) / (2 * sqrt(2.0)), s / 5) AS c FROM (SELECT bucket, min(x) AS lox, min(y) AS loy, max(x) AS hix, max(y) AS hiy, min(cp_dist) AS cp, pow((max(x) - min(x)) * (max(y) - min(y)) * 6 / count(*), 0.5) AS s FROM mb GROUP BY bucket)),
+dc AS (SELECT mb.bucket, CAST(floor((x - lox) / c) AS BIGINT) AS cx, CAST(floor((y - loy) / c) AS BIGINT) AS cy, min(floor((hix - lox) / c)) AS tx, min(floor((hiy - loy) / c)) AS ty, count(*) AS n FROM mb JOIN sz ON sz.bucket = mb.bucket AND c >= s / 10 AND c > 0 GROUP BY 1, 2, 3)"""
+
+
+@query(_with(WIDE, KD, MERGED, DENSE, select=f"SELECT bucket, cx, cy, n FROM dc WHERE n > {KN} AND cx >= 4 AND cy >= 4 AND cx <= tx - 5 AND cy <= ty - 5"))
+def small_cells_pruned(spark, sf_dir):
+    placed = P.kd_buckets(lattice(spark, sf_dir, 10).drop("brand"), SPLIT)
+    merged = P.merged_buckets(placed)
+    return P.dense_cells(P.with_bucket_cells(P.bucket_of(placed, merged), merged, 50.0, KN), KN)
+
+
 @query(_with(RCT, select="SELECT id FROM rc WHERE lox <= 2 AND hix >= 49 AND loy <= 905 AND hiy >= 990"))
 def rect_contains(spark, sf_dir):
     return R.contains(rects(spark, sf_dir), (2.0, 905.0, 49.0, 990.0))

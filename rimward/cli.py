@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-d", type=int, required=True, metavar="DIMS", help="dimensions")
     p.add_argument("-o", required=True, metavar="OUTPUT", help="folder of the result")
     p.add_argument("-r", type=float, metavar="RANGE", help="width of the domain; by default that of the points")
-    p.add_argument("-p", choices=["grid", "pivot", "cells", "clusters"], default="grid", metavar="PLAN", help="grid, pivot, cells or clusters")
+    p.add_argument("-p", choices=["grid", "pivot", "cells", "bounds", "clusters"], default="grid", metavar="PLAN", help="grid, pivot, cells, bounds or clusters")
     p.add_argument("-m", default="L2Metric", metavar="METRIC", help="L1Metric or L2Metric")
     p.add_argument("-c", type=float, default=0.1, metavar="RATE", help="cluster radius as a share of the domain, for plan clusters")
     p.add_argument("-t", type=float, default=0.0, metavar="THRESHOLD", help="only scores over this are reported")
@@ -41,7 +41,7 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.p == "clusters":
         width = args.r or max(points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first())
         return S.micro_cluster(points, MC.leaders(points, args.c * width), c)
-    return {"grid": S.grid, "pivot": S.pivot, "cells": S.cell_pruning}[args.p](points, c)
+    return {"grid": S.grid, "pivot": S.pivot, "cells": S.small_cells, "bounds": S.cell_pruning}[args.p](points, c)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rimward.functions.metrics import boxes_meet
+from rimward.functions.metrics import boxes_meet, l1, metric
 from rimward.operators.caching import cut, keep
 from rimward.operators.knn import knn_grid, knn_within, quantiles
 
 
+def sound_from(name: str) -> float:
+    """The threshold from which the pruning of dense cells is sound: two diagonals over four edges less one diagonal."""
+    return 2.0 if metric(name) is l1 else 1.1
+
+
 def closest_pair(points: DataFrame, k_cell: int = 12) -> DataFrame:
     """(id, nid, dist): the nearest two points, the smallest ids of equally near ones."""
     near = knn_grid(points, 1, cell_points=k_cell).where("id < nid").select("id", "nid", F.round("dist", 6).alias("dist"))
     return near.orderBy("dist", "id", "nid").limit(1)
 
 
-def closest_pair_within(points: DataFrame, group: str) -> DataFrame:
-    return knn_within(points, 1, group).groupBy(group).agg(F.round(F.min("dist"), 6).alias("cp_dist"))
+def closest_pair_within(points: DataFrame, group: str, name: str = "L2") -> DataFrame:
+    return knn_within(points, 1, group, name).groupBy(group).agg(F.round(F.min("dist"), 6).alias("cp_dist"))
 
 
 def _first(placed: DataFrame, goal: DataFrame, by: list[str], slices: int = 64) -> DataFrame:
@@ -104,10 +109,10 @@ def kd_buckets(points: DataFrame, least: int, most_sorted: int = 4_000_000) -> D
         out = halves.withColumn("bucket", F.col("bucket") * 2 + F.col("half")).select(*out.columns).unionByName(ranked.where("_axis is null").select(*out.columns))
 
 
-def merged_buckets(placed: DataFrame, ratio: float = 10.0, tiny: float = 1e-10) -> DataFrame:
+def merged_buckets(placed: DataFrame, ratio: float = 10.0, tiny: float = 1e-10, name: str = "L2") -> DataFrame:
     """(bucket, n, cp_dist): siblings become their parent, from the smallest up, while the closest-pair distances of both differ
     by the factor ``ratio`` at most or are both tiny. ``placed`` has leaves that are numbered as by ``kd_buckets``."""
-    now = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(closest_pair_within(placed, "bucket"), "bucket", "left"))
+    now = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(closest_pair_within(placed, "bucket", name), "bucket", "left"))
     depth = now.agg(F.max(_depth())).first()[0] or 0
     for level in range(int(depth), 0, -1):
         mine = now.where(_depth() == level).withColumn("_up", F.shiftright("bucket", 1))
@@ -118,7 +123,7 @@ def merged_buckets(placed: DataFrame, ratio: float = 10.0, tiny: float = 1e-10)
             continue
         shift = (_depth() - F.lit(level - 1)).cast("int")
         under = placed.where(_depth() >= level).withColumn("bucket", F.call_function("shiftright", F.col("bucket"), shift)).join(joined.select("bucket"), "bucket", "left_semi")
-        new = joined.join(closest_pair_within(under, "bucket"), "bucket", "left")
+        new = joined.join(closest_pair_within(under, "bucket", name), "bucket", "left")
         kept = now.join(joined.select(F.col("bucket").alias("_up")), F.shiftright("bucket", 1) == F.col("_up"), "left_anti")
         now = cut(kept.unionByName(new))
     return now
@@ -164,13 +169,39 @@ def prunable_cells(points: DataFrame, k: int, size_x: float, size_y: float) -> D
     return cells.where((F.col("n") > k) & (F.col("cx") >= 4) & (F.col("cy") >= 4) & (F.col("cx") <= (top["x"] or 0) - 5) & (F.col("cy") <= (top["y"] or 0) - 5))
 
 
-def cell_size(stats: DataFrame, threshold: float, k: int, dims: int = 2) -> DataFrame:
-    """threshold * cp / (2 sqrt d), at most a fifth of the expected size, null below a tenth of it."""
+def cell_size(stats: DataFrame, threshold: float, k: int, dims: int = 2, name: str = "L2") -> DataFrame:
+    """threshold * cp / (2 sqrt d), at most a fifth of the expected size, null below a tenth of it; under L1, d in place of sqrt d.
+
+    A cell's diagonal is then half of threshold * cp at most.
+    """
     expected = F.pow(F.col("area") * k / F.col("n"), 1.0 / dims)
-    size = F.least(F.lit(threshold) * F.col("cp_dist") / (2 * dims**0.5), expected / 5)
+    size = F.least(F.lit(threshold) * F.col("cp_dist") / (2 * dims ** (1.0 if metric(name) is l1 else 0.5)), expected / 5)
     return stats.withColumn("cell_size", F.when(size >= expected / 10, size))
 
 
+def with_bucket_cells(placed: DataFrame, merged: DataFrame, threshold: float, k: int, name: str = "L2", slack: float = 1e-6) -> DataFrame:
+    """Points (id, x, y, bucket) with ``cx``, ``cy``, their cell in the bucket, and ``top_x``, ``top_y``, the bucket's last cell; points of buckets
+    without a cell size are left out. ``merged`` has each bucket's closest-pair distance; ``slack`` is what its rounding may have added."""
+    stats = bucket_stats(placed).withColumn("area", (F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy")))
+    sized = stats.join(merged.select("bucket", F.greatest(F.col("cp_dist") - slack, F.lit(0.0)).alias("cp_dist")), "bucket")
+    sized = cell_size(sized, threshold, k, name=name).where("cell_size > 0")
+    cell = lambda value, axis: F.floor((value - F.col(f"lo{axis}")) / F.col("cell_size"))
+    ends = [cell(F.col(f"hi{a}"), a).alias(f"top_{a}") for a in ("x", "y")]
+    held = placed.join(sized.select("bucket", "lox", "loy", "cell_size", *ends), "bucket")
+    return held.select("id", "x", "y", "bucket", cell(F.col("x"), "x").alias("cx"), cell(F.col("y"), "y").alias("cy"), "top_x", "top_y")
+
+
+def dense_cells(celled: DataFrame, k: int) -> DataFrame:
+    """(bucket, cx, cy, n): cells of more than k points, at least 4 cells from the low and 5 from the high edge of their bucket.
+
+    Scores of their points are at most the threshold of the cell size. A point's neighbours lie within the diagonal, those of its neighbours within two,
+    so no reachability exceeds threshold * cp; and no distance of a neighbour to its own neighbours is under cp inside the bucket, or under what is
+    left to the edge beyond, which is enough from the threshold ``sound_from`` on.
+    """
+    inside = (F.col("cx") >= 4) & (F.col("cy") >= 4) & (F.col("cx") <= F.col("top_x") - 5) & (F.col("cy") <= F.col("top_y") - 5)
+    return celled.where(inside).groupBy("bucket", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+
+
 def expansion_box(points: DataFrame, kd: DataFrame) -> DataFrame:
     """The square around each point that holds its k-distance ball, cut to the domain."""
     ends = points.agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d")).first()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rimward.config import LofConfig
 from rimward.operators import lof as L
 from rimward.operators import microcluster as MC
+from rimward.operators import partition as P
 from rimward.operators.caching import cut, keep
 from rimward.operators.knn import knn_grid, knn_of, knn_pivot
 
@@ -50,6 +51,31 @@ def cell_pruning(points: DataFrame, c: LofConfig, seeds: int = 200) -> DataFrame
     return L.top_n(L.lof_of_survivors(knn, survivors, c.k), c.n, c.threshold)
 
 
+def small_cells(points: DataFrame, c: LofConfig, least: int | None = None, seeds: int = 200) -> DataFrame:
+    """Points of dense cells are left out before any neighbour but those of a few seeds is looked for.
+
+    Buckets of ``least`` points (20 k) or more are split, and merged by their closest pairs; each has its own cell size. The n-th best score of the seeds,
+    the points farthest out in their buckets, is the threshold, or the one given if that is higher. The rule needs neighbours that exclude the point itself.
+    """
+    if c.include_self:
+        return grid(points, c)
+    points = points.select("id", "x", "y")
+    placed = P.kd_buckets(points, least or 20 * c.k)
+    middle = placed.groupBy("bucket").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"), (F.var_pop("x") + F.var_pop("y")).alias("_v"))
+    off = lambda a: (F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}"))
+    far = placed.join(middle.where("_v > 0"), "bucket").withColumn("_far", (off("x") + off("y")) / F.col("_v"))
+    seed = cut(far.orderBy(F.desc("_far"), "id").limit(seeds).select("id"))
+    best = L.top_n(L.lof_of_survivors(closure(points, seed, c), seed, c.k), c.n, c.threshold).select("lof").collect()  # n numbers
+    threshold = (best[-1]["lof"] if len(best) == c.n else c.threshold) - 1e-6
+    if threshold < P.sound_from(c.metric):
+        return grid(points, c)
+    merged = P.merged_buckets(placed, name=c.metric)
+    celled = cut(P.with_bucket_cells(P.bucket_of(placed, merged), merged, threshold, c.k, c.metric))
+    pruned = celled.join(P.dense_cells(celled, c.k), ["bucket", "cx", "cy"], "left_semi")
+    survivors = cut(points.select("id").join(pruned.select("id"), "id", "left_anti"))
+    return L.top_n(L.lof_of_survivors(survivors_only(points, survivors, c), survivors, c.k), c.n, c.threshold)
+
+
 def micro_cluster(points: DataFrame, centroids: DataFrame, c: LofConfig) -> DataFrame:
     """Clusters whose upper bound cannot reach the n-th lower bound are left out before any neighbour is looked for.
 

@@ -75,6 +75,30 @@ def test_plans_agree_and_pruning_loses_nothing(spark):
         assert low - 1e-5 <= scores[r["id"]] and (high is None or scores[r["id"]] <= high + 1e-5 or scores[r["id"]] == 0)
 
 
+@pytest.mark.parametrize("name", ["L1", "L2"])
+def test_dense_cells_are_left_out_without_loss(spark, name):
+    """A clump far from few points: most of it is pruned before the search, the scores of what is pruned are under the threshold."""
+    rng = random.Random(5)
+    rows = [(i, i % 24 + rng.uniform(-0.2, 0.2), i // 24 + rng.uniform(-0.2, 0.2)) for i in range(576)]
+    rows += [(600, -400.0, 10.0), (601, 12.0, 420.0), (602, 430.0, 3.0), (603, 11.0, -410.0)]
+    df = spark.createDataFrame(rows, POINTS).repartition(2).persist()
+    c = LofConfig(n=3, metric=name)
+    scores = {r["id"]: r["lof"] for r in L.lof_of(knn_grid(df, c.k, name), c.k).collect()}
+    placed = P.kd_buckets(df, 200)
+    merged = P.merged_buckets(placed, name=name)
+    celled = P.with_bucket_cells(P.bucket_of(placed, merged), merged, 80.0, c.k, name).persist()
+    dense = P.dense_cells(celled, c.k)
+    pruned = {r["id"] for r in celled.join(dense, ["bucket", "cx", "cy"], "left_semi").select("id").collect()}
+    assert len(pruned) > 400 and not pruned & {600, 601, 602, 603}
+    assert max(scores[i] for i in pruned) <= 80
+    want = sorted(((-v, i) for i, v in scores.items()))[:3]
+    assert [(-r["lof"], r["id"]) for r in S.small_cells(df, c, least=200, seeds=20).collect()] == want
+    over = LofConfig(n=30, metric=name, threshold=90.0)
+    want = sorted(((-v, i) for i, v in scores.items() if v > 90))
+    assert [(-r["lof"], r["id"]) for r in S.small_cells(df, over, least=200, seeds=20).collect()] == want
+    assert S.small_cells(df.limit(0), c).count() == 0
+
+
 @pytest.mark.parametrize("name", ["L1", "L2"])
 def test_neighbours_of_skewed_points_groups_and_copies(spark, name):
     """Diagonal and clustered points, groups of very different sizes, and many points at one place."""
