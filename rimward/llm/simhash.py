@@ -133,13 +133,14 @@ def links(fps: DataFrame, n_fingerprints: int, distance: int = DISTANCE, block:
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), F.lit(m).cast("long").alias("mask")) for s, m in masks]))
     tab = fps.select("fp", rows.alias("_x")).select("_x.seg", F.col("fp").bitwiseAND(F.col("_x.mask")).alias("key"), "fp")
     sizes = tab.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).withColumn("_parts", F.ceil(F.col("_n") / block))
-    tab = tab.join(sizes.drop("_n"), ["seg", "key"], "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("_parts"))))
+    tab = tab.join(sizes.drop("_n").hint("merge"), ["seg", "key"], "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("_parts"))))
     blocks = tab.groupBy("seg", "key", "_part").agg(F.collect_list("fp").alias("held")).drop("_part")
     probes = [(s, m, _signed(b << cut[s][0])) for s, m in masks if radius - (s > more) >= 0 for b in _ball(cut[s][1], radius - (s > more))]
     ball = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), F.lit(m).cast("long").alias("mask"), F.lit(b).cast("long").alias("flip")) for s, m, b in probes]))
     look = fps.select("fp", ball.alias("_x")).select("_x.seg", F.col("fp").bitwiseAND(F.col("_x.mask")).bitwiseXOR(F.col("_x.flip")).alias("key"), "fp")
     near = F.filter("held", lambda x: (x < F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= distance))
-    return look.join(blocks, ["seg", "key"]).select("fp", near.alias("near")).where(F.size("near") > 0)
+    # estimates leave out that rows are exploded, so that either side would be broadcast long after it has outgrown the driver
+    return look.join(blocks.hint("merge"), ["seg", "key"]).select("fp", near.alias("near")).where(F.size("near") > 0)
 
 
 class Forest:
@@ -186,7 +187,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, top): the smallest node of each node's component, for nodes with an edge that aren't it.
 
     Rounds of large-star and small-star steps; each is an aggregate with map-side partial minima and a
-    join that AQE may split, so a hub of many edges does not meet in one task.
+    join that AQE may split, so a hub of many edges does not meet in one task. Nothing that grows with the nodes is broadcast.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -199,10 +200,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.select("node", "top").unionAll(now.select(F.col("top").alias("node"), F.col("node").alias("top")))
         least = both.groupBy("node").agg(F.least(F.min("top"), F.first("node")).alias("m"))
         # large star: larger neighbours go to the smallest neighbour
-        large = both.where("top > node").join(least, "node").select(F.col("top").alias("node"), F.col("m").alias("top")).where("node <> top").distinct()
+        large = both.where("top > node").join(least.hint("merge"), "node").select(F.col("top").alias("node"), F.col("m").alias("top")).where("node <> top").distinct()
         # small star: the node and its smaller neighbours go to the smallest of them
         low = large.groupBy("node").agg(F.min("top").alias("m"))
-        small = large.join(low, "node").select(F.col("top").alias("node"), F.col("m").alias("top")).unionAll(low.select("node", F.col("m").alias("top")))
+        small = large.join(low.hint("merge"), "node").select(F.col("top").alias("node"), F.col("m").alias("top")).unionAll(low.select("node", F.col("m").alias("top")))
         now = stage(small.where("node <> top").distinct(), "cc")
         if (after := state(now)) == seen:
             return now
@@ -216,10 +217,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     fps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     edges = links(fps.select("fp"), fps.count(), distance, block).mapInArrow(_forests(), "node long, top long")
     tops = components(edges)
-    marked = fps.join(tops.withColumnRenamed("node", "fp"), "fp", "left").withColumn("top", F.coalesce("top", "fp"))
+    marked = fps.join(tops.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("top", F.coalesce("top", "fp"))
     ids = marked.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = marked.join(ids, "top").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = marked.join(ids.hint("merge"), "top").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

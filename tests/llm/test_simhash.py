@@ -71,6 +71,13 @@ def test_links_and_blocks_on_random_prints(spark):
         assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
 
 
+def test_nothing_that_grows_with_the_table_is_broadcast(spark):
+    """A small file of fingerprints, exploded to 46 probes each, is not sent to the driver, nor is any table of components."""
+    fps = simhash.stage(spark.range(3000).select(F.xxhash64("id").alias("fp")), "test-prints")
+    plans = [simhash.links(fps, 3000), simhash.near_duplicates(awkward(spark))]
+    assert ["Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in plans] == [False, False]
+
+
 def shingle_set(text):
     words = (text or "").translate(LOW).encode().split()
     return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
