@@ -194,3 +194,25 @@ def test_leaders_fold_in_order_of_id(spark):
     points = [(i, float(x), 0.0) for i, x in enumerate([0, 1, 10, 2, 11, 30, 0.5])]
     got = [tuple(r) for r in MC.leaders(spark.createDataFrame(points, POINTS).repartition(3), 3.0).orderBy("mc_id").collect()]
     assert got == [(1, (0 + 1 + 2 + 0.5) / 4, 0.0), (2, 10.5, 0.0), (3, 30.0, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["L1", "L2"])
+def test_merging_needs_no_neighbour_search(spark, monkeypatch, name):
+    """Closest pairs of merged buckets, which may lie across their halves, without a search over the points of each level."""
+    dist = math.dist if name == "L2" else lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True))
+    rng = random.Random(14)
+    points = [(i, rng.uniform(0, 90), rng.uniform(0, 60)) for i in range(400)] + [(1000 + i, rng.uniform(200, 200.5), rng.uniform(0, 0.5)) for i in range(300)]
+    points += [(2000 + i, 500.0, float(i % 40)) for i in range(90)]
+    placed = P.kd_buckets(spark.createDataFrame(points, POINTS), 30).persist()
+    found = P.closest_pair_within
+    monkeypatch.setattr(P, "closest_pair_within", lambda *a: pytest.fail("searched"))
+    merged = P.merged_buckets(placed, ratio=3.0, name=name)
+    monkeypatch.setattr(P, "closest_pair_within", found)
+    where = {r["id"]: r["bucket"] for r in P.bucket_of(placed, merged).collect()}
+    rows = merged.collect()
+    assert 3 < len(rows) < 64 and {r["cp_dist"] for r in rows} > {0.0}
+    for r in rows:
+        mine = [p[1:] for p in points if where[p[0]] == r["bucket"]]
+        assert r["n"] == len(mine) and r["cp_dist"] == pytest.approx(min(dist(a, b) for i, a in enumerate(mine) for b in mine[:i]), abs=1e-6)
+    large = {r["bucket"]: r["cp_dist"] for r in P.leaf_pairs(placed, name, most=2).collect()}
+    assert large == {r["bucket"]: r["cp_dist"] for r in P.leaf_pairs(placed, name).collect()}
