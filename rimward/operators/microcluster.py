@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimward.functions.metrics import cf_distance, hyperplane, l2, metric
-from rimward.operators.caching import keep
+from rimward.operators.caching import cut, keep
 
 C = F.col
+#: So many clusters are held in one partition.
+FEW = 256
 
 
 def centroids_by(points: DataFrame, group: str) -> DataFrame:
@@ -57,6 +59,12 @@ def pairs(clusters: DataFrame, name: str = "L2") -> DataFrame:
     return clusters.join(other, C("mc_id") != C("o_mc_id")).withColumn("d", metric(name)([C("cx"), C("cy")], [C("o_cx"), C("o_cy")]))
 
 
+def _in_one(clusters: DataFrame, few: int = FEW) -> DataFrame:
+    """``clusters`` kept; up to ``few`` of them in one partition, so that nothing made of them is shuffled."""
+    clusters = keep(clusters)
+    return F.broadcast(cut(clusters.coalesce(1))) if clusters.count() <= few else clusters
+
+
 def overlaps(clusters: DataFrame) -> DataFrame:
     return pairs(clusters).where("mc_id < o_mc_id and d < radius + o_radius").select("mc_id", C("o_mc_id").alias("other"))
 
@@ -97,10 +105,12 @@ def lof_bounds(clusters: DataFrame, k: int, name: str = "L2") -> DataFrame:
     two clusters lie between max(least, kd_lo of the neighbour) and max(most, its kd_hi), so densities, and
     with them their ratios, are bounded.
     """
-    full = clusters.join(kdist_bounds(clusters, k, name), "mc_id")
+    clusters = _in_one(clusters)
+    full = _in_one(clusters.join(kdist_bounds(clusters, k, name), "mc_id"))
     near = pairs(full, name).select("mc_id", C("o_mc_id").alias("other"), "kd_hi", F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"), "o_kd_lo", "o_kd_hi")
     # a cluster of one point holds no neighbour of its member
     near = near.unionByName(full.select("mc_id", C("mc_id").alias("other"), "kd_hi", F.lit(0.0).alias("lo"), (2 * C("radius")).alias("hi"), C("kd_lo").alias("o_kd_lo"), C("kd_hi").alias("o_kd_hi")).where("n > 1")).where("lo <= kd_hi + 0.000001")
+    near = keep(near)
     reach = near.groupBy("mc_id").agg(F.min(F.greatest("lo", "o_kd_lo")).alias("r_lo"), F.max(F.greatest("hi", "o_kd_hi")).alias("r_hi"))
     around = near.select("mc_id", "other").join(reach.select(C("mc_id").alias("other"), C("r_lo").alias("n_lo"), C("r_hi").alias("n_hi")), "other").groupBy("mc_id").agg(F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
     out = full.select("mc_id", "n").join(reach, "mc_id").join(around, "mc_id")
@@ -109,6 +119,7 @@ def lof_bounds(clusters: DataFrame, k: int, name: str = "L2") -> DataFrame:
 
 def pruned(bounds: DataFrame, n: int) -> DataFrame:
     """Clusters none of whose members can be among the n largest: their upper bound is under the n-th largest lower bound."""
+    bounds = keep(bounds)
     last = bounds.orderBy(F.desc("lower"), "mc_id").limit(n).agg(F.count(F.lit(1)).alias("c"), F.min("lower").alias("m")).where(C("c") == n)
     return bounds.join(F.broadcast(last), C("upper") < C("m")).select("mc_id")
 
