@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose 5-word shingles are similar by 0.8 or more."""
+    """One document of each group of texts whose 5-word shingles are similar by 0.8 or more: SimHash links, checked exactly, and those that fingerprints miss."""
     return simhash.keep_one(docs)
 
 

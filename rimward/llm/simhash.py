@@ -12,11 +12,12 @@ each task then keeps a spanning forest of the links it saw, so links are never w
 pair and none that joins two groups is lost. Components follow by large-star and small-star steps over
 these forests, written to the shared folder after each round.
 
-``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which no Hamming distance of
-fingerprints finds with certainty. Its candidates come from prefix filtering, which misses none: with the shingles in one order
-for all texts, two such sets share a member among the first n - ceil(0.8 n) + 1 of each. Shingles known to be common come last in
+``similar`` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Texts whose fingerprints link as above
+are compared on their complete sets, and those that hold are joined. No Hamming distance finds all such texts with certainty, so prefix
+filtering then adds the links that fingerprints miss: with the shingles in one order for all texts, two such sets share a member among
+the first n - ceil(0.8 n) + 1 of each. Shingles known to be common come last in
 that order. Lengths, places in the prefixes and then the number of shared prefix members rule out most pairs that meet; the others
-are verified on the complete sets of both texts. The texts of a common key are dealt to blocks. The first round takes all candidates of
+are verified on the complete sets of both texts. The texts of a common key are dealt to blocks. Its first round takes all candidates of
 keys of few texts and three partners of each text at the others, the second those that lie in different components still.
 Of the links that hold, each task keeps a spanning forest.
 
@@ -183,6 +184,25 @@ def _forests(most: int = 200_000):
     return run
 
 
+def _joining(most: int = 200_000):
+    """Batches of (fp, near) to the links (a, b) among them, each as it was found, that join two groups of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            out = []
+            for fp, near in zip(batch["fp"].to_pylist(), batch["near"].to_pylist(), strict=True):
+                for other in near:
+                    if forest.root(fp) != forest.root(other):
+                        forest.join(fp, other)
+                        out.append((fp, other))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            if len(forest.up) > most:
+                forest = Forest()
+
+    return run
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, top): the smallest node of each node's component, for nodes with an edge that aren't it.
 
@@ -255,8 +275,8 @@ def common_shingles(docs: DataFrame, width: int, most: int = COMMON) -> tuple[np
 
 
 def _prefixes(width: int, least: float, common, block: int):
-    """Batches of (doc_id, _hash, _text) to those of (doc_id, hash, node, n, keys, parts): the prefix that sets of similarity
-    ``least`` or more share in part, and into how many blocks the texts of each key are dealt."""
+    """Batches of (doc_id, _hash, _text) to those of (doc_id, hash, fp, node, n, keys, parts): the fingerprint, the prefix that sets of
+    similarity ``least`` or more share in part, and into how many blocks the texts of each key are dealt."""
 
     def keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h, n = common.value
@@ -271,12 +291,26 @@ def _prefixes(width: int, least: float, common, block: int):
         for batch in _pieces(batches):
             sets = [shingle_hashes(x.as_py(), width) for x in batch["_text"]]
             prefixes = [keys(x) for x in sets]
-            columns = [pa.array([text_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([k for k, _ in prefixes], pa.list_(pa.int64())), pa.array([p for _, p in prefixes], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_hash"], *columns], ["doc_id", "hash", "node", "n", "keys", "parts"])
+            prints = np.array([fingerprint(x.as_py()) for x in batch["_text"]], dtype=np.uint64).view(np.int64)
+            columns = [pa.array(prints), pa.array([text_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([k for k, _ in prefixes], pa.list_(pa.int64())), pa.array([p for _, p in prefixes], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_hash"], *columns], ["doc_id", "hash", "fp", "node", "n", "keys", "parts"])
 
     return run
 
 
+def print_candidates(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(node, top): of texts (fp, node) the pairs whose fingerprints are equal or link, thinned to what joins groups of fingerprints.
+
+    The smallest node of a fingerprint stands for it, and the others of the same fingerprint are paired with that one.
+    """
+    heads = stage(prints.groupBy("fp").agg(F.min("node").alias("head")), "similar-prints")
+    linked = links(heads.select("fp"), heads.count(), distance, block).mapInArrow(_joining(), "a long, b long")
+    ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(n)).hint("merge") for c, n in (("a", "x"), ("b", "y"))]
+    across = linked.join(ends[0], "a").join(ends[1], "b").select("x", "y")
+    same = prints.distinct().join(heads.hint("merge"), "fp").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    return across.unionAll(same).where("x <> y").select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("top")).distinct()
+
+
 def shared_keys(nodes: DataFrame) -> DataFrame:
     """(key, parts, part, held): the prefix members that several texts have, with (pos, n, node) of each, sorted.
 
@@ -459,17 +493,18 @@ def similar_nodes(docs: DataFrame, width: int = 5, least: float = 0.8, block: in
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    found = stage(rows.mapInArrow(_prefixes(width, least, common, block), "doc_id long, hash long, node long, n int, keys array<long>, parts array<int>"), "similar")
+    found = stage(rows.mapInArrow(_prefixes(width, least, common, block), "doc_id long, hash long, fp long, node long, n int, keys array<long>, parts array<int>"), "similar")
     prints = found.select("doc_id", "hash", "node")
     nodes = stage(found.select("node", "n", "keys", "parts").dropDuplicates(["node"]), "similar-nodes")
+    linked = _links_of(rows, prints, nodes, print_candidates(found.select("fp", "node"), block=block), width, least)
     shared = stage(shared_keys(nodes), "similar-keys")
     edges = _links_of(rows, prints, nodes, first_candidates(shared, least), width, least)
-    tops = components(edges)
+    tops = components(linked.unionAll(edges))
     if not shared.where((F.size("held") > FEW) | (F.col("parts") > 1)).isEmpty():
         more = _links_of(rows, prints, nodes, other_candidates(shared, tops, least, block), width, least)
         tops = components(tops.unionAll(more))
         release(spark, more)
-    release(spark, shared, edges, nodes)
+    release(spark, shared, linked, edges, nodes)
     return prints, tops
 
 

@@ -260,3 +260,23 @@ def test_keep_one_and_empty(spark):
     assert found == want and set(least.values()) - {None} <= {i for i, _ in found}
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_texts_are_joined_by_their_fingerprints(spark, monkeypatch):
+    """Texts whose SimHash fingerprints link are joined once their sets are similar enough, without any shared prefix member."""
+    rng = random.Random(31)
+    rows = []
+    for _ in range(12):
+        base = words(rng, 400, 10**6)
+        rows += [base, base + " more", "more " + base]
+    rows += [words(rng, 400, 10**6) for _ in range(10)] + ["", None]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(rows)], DOCS).repartition(3)
+    prints = [brute_print(t) for t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert len(linked) >= 12
+    none = lambda *args: spark.createDataFrame([], simhash.PAIRS)
+    monkeypatch.setattr(simhash, "first_candidates", none)
+    monkeypatch.setattr(simhash, "other_candidates", none)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert all(got[i] == got[j] for i, j in linked)
+    assert len({got[i] for i in range(36, 46)}) == 10 and len({got[3 * i] for i in range(12)}) == 12
