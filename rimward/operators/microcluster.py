@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from rimward.functions.metrics import cf_distance, hyperplane, l2, metric
 from rimward.operators.caching import cut, keep
+from rimward.operators.knn import knn_cells, knn_grid, pairs_within
 
 C = F.col
-#: So many clusters are held in one partition.
+#: So many clusters are held in one partition and compared pair by pair; of more, only those that are near enough meet.
 FEW = 256
 
 
@@ -41,8 +42,14 @@ def leaders(points: DataFrame, radius: float) -> DataFrame:
     return points.coalesce(1).sortWithinPartitions("id").select("x", "y").mapInPandas(fold, "mc_id long, cx double, cy double")
 
 
-def assign(points: DataFrame, centroids: DataFrame, name: str = "L2") -> DataFrame:
-    """(id, x, y, mc_id, d): each point's nearest centroid, ties by mc_id. The centroids are few: one array of them goes along."""
+def assign(points: DataFrame, centroids: DataFrame, name: str = "L2", few: int = FEW) -> DataFrame:
+    """(id, x, y, mc_id, d): each point's nearest centroid, ties by mc_id. One array of few centroids goes along; many are met by cells."""
+    centroids = keep(centroids)
+    if centroids.count() > few:
+        uv = (C("x").alias("u"), C("y").alias("v"))
+        places = cut(centroids.groupBy(C("cx").alias("x"), C("cy").alias("y")).agg(F.min("mc_id").alias("id")))
+        found = knn_cells(points.select("id", "x", "y", *uv), 1, name, among=places.select("id", "x", "y", *uv))
+        return cut(points.select("id", "x", "y").join(found.select("id", C("nid").alias("mc_id"), C("dist").alias("d")), "id"))
     held = centroids.agg(F.sort_array(F.collect_list(F.struct("mc_id", "cx", "cy"))).alias("held"))
     near = F.array_min(F.transform("held", lambda c: F.struct(metric(name)([C("x"), C("y")], [c["cx"], c["cy"]]).alias("d"), c["mc_id"].alias("mc_id"))))
     return points.crossJoin(F.broadcast(held)).withColumn("_n", near).select("id", "x", "y", C("_n.mc_id").alias("mc_id"), C("_n.d").alias("d"))
@@ -59,10 +66,32 @@ def pairs(clusters: DataFrame, name: str = "L2") -> DataFrame:
     return clusters.join(other, C("mc_id") != C("o_mc_id")).withColumn("d", metric(name)([C("cx"), C("cy")], [C("o_cx"), C("o_cy")]))
 
 
+def near_pairs(clusters: DataFrame, k: int, name: str = "L2", few: int = FEW) -> DataFrame:
+    """``pairs``, of many clusters those only that the bounds of k-distances and outlier factors need.
+
+    The k nearest centroids bound a cluster's kd_hi by u, the largest of their distances and radii, plus its own radius. The bounds need clusters whose
+    least distance is at most kd_hi, so none whose centroid is farther than u and both radii. Clusters are met by classes of
+    their radius, a power of two each, so that one large cluster widens the search for itself only.
+    """
+    if clusters.count() <= max(few, k + 1):
+        return pairs(clusters, name)
+    clusters = cut(clusters)
+    near = knn_grid(clusters.select(C("mc_id").alias("id"), C("cx").alias("x"), C("cy").alias("y")), k, name)
+    reach = cut(near.join(clusters.select(C("mc_id").alias("nid"), C("radius").alias("_ro")), "nid").groupBy(C("id").alias("mc_id")).agg(F.max(C("dist") + C("_ro")).alias("_u")))
+    kind = F.when(C("radius") > 0, F.ceil(F.log2("radius"))).otherwise(-9999).cast("int")
+    kinds = clusters.groupBy(kind.alias("kind")).agg(F.max("radius").alias("_most")).collect()  # one for each power of two
+    each = F.explode(F.array(*[F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["_most"]).alias("_most")) for r in kinds]))
+    asked = clusters.join(reach, "mc_id").withColumn("_k", each).withColumn("r", (C("_u") + 2 * C("radius") + C("_k._most")) * (1 + 1e-9) + 1e-5)
+    asked = asked.withColumn("kind", C("_k.kind")).withColumn("x", C("cx")).withColumn("y", C("cy")).drop("_k", "_u")
+    table = clusters.select(*[C(c).alias(f"o_{c}") for c in clusters.columns], kind.alias("kind"), C("cx").alias("nx"), C("cy").alias("ny"))
+    met = pairs_within(asked, table, name).where("mc_id <> o_mc_id")
+    return cut(met.select(*clusters.columns, *[f"o_{c}" for c in clusters.columns], C("dist").alias("d")))
+
+
 def _in_one(clusters: DataFrame, few: int = FEW) -> DataFrame:
     """``clusters`` kept; up to ``few`` of them in one partition, so that nothing made of them is shuffled."""
     clusters = keep(clusters)
-    return F.broadcast(cut(clusters.coalesce(1))) if clusters.count() <= few else clusters
+    return F.broadcast(cut(clusters.coalesce(1))) if clusters.count() <= few else cut(clusters)
 
 
 def overlaps(clusters: DataFrame) -> DataFrame:
@@ -86,9 +115,11 @@ def point_bounds(assigned: DataFrame, clusters: DataFrame) -> DataFrame:
     return both.select("id", "other", F.round(F.when(apart, F.greatest(d - C("br"), F.lit(0.0))).otherwise(plane), 6).alias("least"), F.round(d + C("br"), 6).alias("most"))
 
 
-def kdist_bounds(clusters: DataFrame, k: int, name: str = "L2") -> DataFrame:
-    """(mc_id, kd_lo, kd_hi) for a cluster's members: clusters in order of their least (largest) distance until k other points are reached."""
-    near = pairs(clusters, name).select("mc_id", C("o_n").alias("n"), F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"))
+def kdist_bounds(clusters: DataFrame, k: int, name: str = "L2", both: DataFrame | None = None) -> DataFrame:
+    """(mc_id, kd_lo, kd_hi) for a cluster's members: clusters in order of their least (largest) distance until k other points are reached.
+    ``both`` are the clusters' ``near_pairs`` if they are at hand."""
+    both = near_pairs(clusters, k, name) if both is None else both
+    near = both.select("mc_id", C("o_n").alias("n"), F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"))
     near = near.unionByName(clusters.select("mc_id", (C("n") - 1).alias("n"), F.lit(0.0).alias("lo"), (2 * C("radius")).alias("hi")))
 
     def reached(edge: str):
@@ -98,19 +129,24 @@ def kdist_bounds(clusters: DataFrame, k: int, name: str = "L2") -> DataFrame:
     return clusters.select("mc_id").join(reached("lo"), "mc_id", "left").join(reached("hi"), "mc_id", "left").select("mc_id", F.coalesce("kd_lo", F.lit(0.0)).alias("kd_lo"), "kd_hi")
 
 
-def lof_bounds(clusters: DataFrame, k: int, name: str = "L2") -> DataFrame:
+def lof_bounds(clusters: DataFrame, k: int, name: str = "L2", few: int = FEW) -> DataFrame:
     """(mc_id, n, lower, upper) of the outlier factors of a cluster's members; null where nothing is known.
 
     A member's neighbours lie in clusters whose least distance is at most kd_hi. Reachabilities between
     two clusters lie between max(least, kd_lo of the neighbour) and max(most, its kd_hi), so densities, and
     with them their ratios, are bounded.
     """
-    clusters = _in_one(clusters)
-    full = _in_one(clusters.join(kdist_bounds(clusters, k, name), "mc_id"))
-    near = pairs(full, name).select("mc_id", C("o_mc_id").alias("other"), "kd_hi", F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"), "o_kd_lo", "o_kd_hi")
+    clusters = _in_one(clusters, few)
+    both = near_pairs(clusters, k, name, few)
+    full = _in_one(clusters.join(kdist_bounds(clusters, k, name, both), "mc_id"), few)
+    if full.count() <= max(few, k + 1):
+        both = pairs(full, name)
+    else:
+        both = both.join(full.select("mc_id", "kd_hi"), "mc_id").join(full.select(C("mc_id").alias("o_mc_id"), C("kd_lo").alias("o_kd_lo"), C("kd_hi").alias("o_kd_hi")), "o_mc_id")
+    near = both.select("mc_id", C("o_mc_id").alias("other"), "kd_hi", F.greatest(C("d") - C("radius") - C("o_radius"), F.lit(0.0)).alias("lo"), (C("d") + C("radius") + C("o_radius")).alias("hi"), "o_kd_lo", "o_kd_hi")
     # a cluster of one point holds no neighbour of its member
     near = near.unionByName(full.select("mc_id", C("mc_id").alias("other"), "kd_hi", F.lit(0.0).alias("lo"), (2 * C("radius")).alias("hi"), C("kd_lo").alias("o_kd_lo"), C("kd_hi").alias("o_kd_hi")).where("n > 1")).where("lo <= kd_hi + 0.000001")
-    near = keep(near)
+    near = keep(near) if full.count() <= few else cut(near)
     reach = near.groupBy("mc_id").agg(F.min(F.greatest("lo", "o_kd_lo")).alias("r_lo"), F.max(F.greatest("hi", "o_kd_hi")).alias("r_hi"))
     around = near.select("mc_id", "other").join(reach.select(C("mc_id").alias("other"), C("r_lo").alias("n_lo"), C("r_hi").alias("n_hi")), "other").groupBy("mc_id").agg(F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
     out = full.select("mc_id", "n").join(reach, "mc_id").join(around, "mc_id")

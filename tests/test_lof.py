@@ -224,3 +224,24 @@ def test_bounds_of_few_clusters_take_few_shuffles(spark):
     bounds = MC.lof_bounds(MC.stats(MC.assign(df, centroids), centroids), 6)
     assert bounds._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 8
     assert bounds.count() == centroids.count() > 6
+
+
+@pytest.mark.parametrize("name", ["L1", "L2"])
+def test_many_clusters_meet_by_cells(spark, monkeypatch, name):
+    """Nearest centroids and bounds of many clusters equal those of all pairs, which are not formed."""
+    dist = math.dist if name == "L2" else lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True))
+    rng = random.Random(15)
+    points = [(i, float(i % 30), float(i // 30)) for i in range(900)] + [(1000 + i, rng.gauss(-90, 30), rng.gauss(15, 1)) for i in range(60)] + [(2000 + i, 400.0 * i, 900.0) for i in range(1, 9)]
+    df = spark.createDataFrame(points, POINTS)
+    centres = [(i + 1, 2.0 * (i % 15) + 0.5, float(i // 15)) for i in range(450)] + [(500, -100.0, 15.0), (501, -99.0, 15.0), (502, -99.0, 15.0)] + [(600 + i, 400.0 * i, 900.0) for i in range(1, 9)]
+    centroids = spark.createDataFrame(centres, "mc_id long, cx double, cy double").persist()
+    got = {r["id"]: (r["d"], r["mc_id"]) for r in MC.assign(df, centroids, name).collect()}
+    assert {i: m for i, (_, m) in got.items()} == {i: min((dist(p, c), m) for m, *c in centres)[1] for i, *p in points}
+    clusters = MC.stats(MC.assign(df, centroids, name), centroids).persist()
+    want = sorted(tuple(r) for r in MC.lof_bounds(clusters, 6, name, few=1000).collect())
+    want_kd = sorted(tuple(r) for r in MC.kdist_bounds(clusters, 6, name, MC.pairs(clusters, name)).collect())
+    monkeypatch.setattr(MC, "pairs", lambda *a: pytest.fail("all pairs"))
+    assert len(want) > 400 and sorted(tuple(r) for r in MC.kdist_bounds(clusters, 6, name).collect()) == want_kd
+    bounds = MC.lof_bounds(clusters, 6, name)
+    assert sorted(tuple(r) for r in bounds.collect()) == want
+    assert MC.near_pairs(clusters, 6, name).count() < len(want) ** 2 / 3
