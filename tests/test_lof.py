@@ -245,3 +245,13 @@ def test_many_clusters_meet_by_cells(spark, monkeypatch, name):
     bounds = MC.lof_bounds(clusters, 6, name)
     assert sorted(tuple(r) for r in bounds.collect()) == want
     assert MC.near_pairs(clusters, 6, name).count() < len(want) ** 2 / 3
+
+
+def test_micro_cluster_plan_of_many_clusters(spark, monkeypatch):
+    """The plan with a cluster for every two points, which are not compared pair by pair, gives the grid's rows."""
+    points = [(i, float(i % 40), float(i // 40)) for i in range(800)] + [(1000 + i, *p) for i, p in enumerate([(-600.0, 10.0), (1600.0, 10.0), (50.0, -500.0), (50.0, 800.0)])]
+    df = spark.createDataFrame(points, POINTS)
+    centroids = MC.centroids_by(df.selectExpr("*", "floor(x / 2) * 1000000 + floor(y) as name"), "name")
+    want = [tuple(r) for r in S.grid(df, LofConfig(n=4)).collect()]
+    monkeypatch.setattr(MC, "pairs", lambda *a: pytest.fail("all pairs"))
+    assert [tuple(r) for r in S.micro_cluster(df, centroids, LofConfig(n=4)).collect()] == want
