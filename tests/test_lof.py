@@ -255,3 +255,21 @@ def test_micro_cluster_plan_of_many_clusters(spark, monkeypatch):
     want = [tuple(r) for r in S.grid(df, LofConfig(n=4)).collect()]
     monkeypatch.setattr(MC, "pairs", lambda *a: pytest.fail("all pairs"))
     assert [tuple(r) for r in S.micro_cluster(df, centroids, LofConfig(n=4)).collect()] == want
+
+
+def test_splitting_and_merging_take_no_job_a_level(spark, monkeypatch):
+    """A table is split in one task, with the buckets of splitting level by level, and the passes of merging do not grow with the levels."""
+    rng = random.Random(16)
+    points = [(i, rng.choice([1.0, 2.0, rng.uniform(0, 30)]), rng.uniform(0, 30)) for i in range(900)] + [(1000 + i, 5.0, 5.0 + i % 3) for i in range(80)]
+    df = spark.createDataFrame(points, POINTS).repartition(3)
+    cuts, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda d: cuts.append(1) or cut(d))
+    of = lambda d: {r["id"]: r["bucket"] for r in d.collect()}
+    for least, levels in ((30, None), (30, 3), (2000, None)):
+        placed = P.kd_buckets(df, least, levels=levels)
+        assert len(cuts) == 2
+        assert of(placed) == of(P.kd_buckets(df, least, levels=levels, in_task=0)) == of(P.kd_buckets(df, least, levels=levels, in_task=250))
+        cuts.clear()
+    merged = P.merged_buckets(P.kd_buckets(df, 30))
+    assert len(cuts) - 2 <= 7
+    assert sum(r["n"] for r in merged.collect()) == 980
