@@ -311,6 +311,37 @@ def print_candidates(prints: DataFrame, distance: int = DISTANCE, block: int = B
     return across.unionAll(same).where("x <> y").select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("top")).distinct()
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows (key, part, parts, pos, n, node) to one row for each key and part of several texts or of a key in parts."""
+
+    def packed(pieces: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, part, parts, pos, n, node = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        ends = np.append(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, len(key))
+        starts = np.append(0, ends[:-1])
+        use = (ends - starts > 1) | (parts[starts] > 1)
+        rows, heads = np.repeat(use, ends - starts), starts[use]
+        members = pa.StructArray.from_arrays([pa.array(c[rows]) for c in (pos, n, node)], ["pos", "n", "node"])
+        held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((ends - starts)[use])), pa.int32()), members)
+        return pa.RecordBatch.from_arrays([pa.array(key[heads]), pa.array(parts[heads]), pa.array(part[heads]), held], ["key", "parts", "part", "held"])
+
+    rest: list[list[np.ndarray]] = []  # pieces that end with a group whose other rows may follow
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        key, part = now[:2]
+        if rest and (rest[-1][0][-1], rest[-1][1][-1]) != (key[0], part[0]):
+            yield packed(rest)
+            rest = []
+        other = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+        if len(other):
+            yield packed([*rest, [c[: other[-1] + 1] for c in now]])
+            rest, now = [], [c[other[-1] + 1 :].copy() for c in now]
+        rest.append(now)
+    if rest:
+        yield packed(rest)
+
+
 def shared_keys(nodes: DataFrame) -> DataFrame:
     """(key, parts, part, held): the prefix members that several texts have, with (pos, n, node) of each, sorted.
 
@@ -318,9 +349,10 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     """
     tab = nodes.select("node", "n", F.posexplode(F.arrays_zip("keys", "parts")).alias("pos", "_x")).select(F.col("_x.keys").alias("key"), F.col("_x.parts").alias("parts"), "pos", "n", "node")
     tab = tab.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "key"), F.col("parts"))).otherwise(0).cast("int"))
-    # almost all keys are distinct in a task, so rows move as they are and only then become arrays
-    blocks = tab.repartition("key", "part").groupBy("key", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("pos", "n", "node")).alias("held"))
-    return blocks.where((F.size("held") > 1) | (F.col("parts") > 1)).withColumn("held", F.array_sort("held"))
+    # almost all keys are of one text, so rows move and are sorted as they are, once, and only those of the other keys become arrays:
+    # collected lists of all keys would be sorted twice in each task, in memory that the executors then keep
+    rows = tab.repartition("key", "part").sortWithinPartitions("key", "part", "pos", "n", "node").select("key", "part", "parts", "pos", "n", "node")
+    return rows.mapInArrow(_blocks, "key long, parts int, part int, held array<struct<pos: int, n: int, node: long>>")
 
 
 def _candidates(least: float, few: int = 0):

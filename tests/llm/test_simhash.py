@@ -280,3 +280,30 @@ def test_texts_are_joined_by_their_fingerprints(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
     assert all(got[i] == got[j] for i, j in linked)
     assert len({got[i] for i in range(36, 46)}) == 10 and len({got[3 * i] for i in range(12)}) == 12
+
+
+def test_shared_keys_are_sorted_once(spark):
+    rng = random.Random(5)
+    rows = []
+    for node in range(400):
+        keys = sorted(rng.sample(range(-300, 900), rng.randint(1, 12))) + ([7000] if node % 2 else [])
+        rows.append((node - 200, 20 + node % 7, keys, [3 if k == 7000 else 2 if k % 50 == 0 else 1 for k in keys]))
+    nodes = spark.createDataFrame(rows, "node long, n int, keys array<long>, parts array<int>")
+    shared = simhash.shared_keys(nodes)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 10_000):  # groups that go on in later batches, and whole ones
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = simhash.shared_keys(nodes).collect()
+            all_of = collections.defaultdict(list)
+            dealt = {(r["node"], r["key"]): r["h"] for r in nodes.select("node", F.explode("keys").alias("key")).withColumn("h", F.xxhash64("node", "key")).collect()}
+            for node, n, keys, parts in rows:
+                for pos, (k, p) in enumerate(zip(keys, parts, strict=True)):
+                    all_of[k, p, dealt[node, k] % p if p > 1 else 0].append((pos, n, node))
+            want = {(k, p, part): sorted(v) for (k, p, part), v in all_of.items() if len(v) > 1 or p > 1}
+            assert len(found) == len(want) and {(r["key"], r["parts"], r["part"]): [tuple(x) for x in r["held"]] for r in found} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert simhash.shared_keys(nodes.where("false")).collect() == []
