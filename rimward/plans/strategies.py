@@ -76,14 +76,45 @@ def small_cells(points: DataFrame, c: LofConfig, least: int | None = None, seeds
     return L.top_n(L.lof_of_survivors(survivors_only(points, survivors, c), survivors, c.k), c.n, c.threshold)
 
 
-def micro_cluster(points: DataFrame, centroids: DataFrame, c: LofConfig) -> DataFrame:
+def micro_cluster(points: DataFrame, centroids: DataFrame, c: LofConfig, seeds: int = 200) -> DataFrame:
     """Clusters whose upper bound cannot reach the n-th lower bound are left out before any neighbour is looked for.
 
+    Of many small clusters, the members of those with the largest upper bounds (``seeds``) or none are scored first, and the n-th of these
+    scores is a threshold too; neighbours are then looked for only in the clusters that the bounds name.
     The bounds hold for neighbours that exclude the point itself; with ``include_self`` nothing is pruned.
     """
     if c.include_self:
         return grid(points, c)
-    assigned = cut(MC.assign(points, centroids, c.metric))
-    bounds = cut(MC.lof_bounds(MC.stats(assigned, centroids), c.k, c.metric))
+    assigned, beside = MC.assign_near(points, centroids, c.k, c.metric)
+    assigned = cut(assigned)
+    clusters = cut(MC.stats(assigned, centroids))
+    size = clusters.agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("most")).first()
+    if size["count"] > max(MC.FEW, c.k + 1) and size["most"] <= 4 * c.cell_points:
+        return _best_first(points, assigned, clusters, size["count"], beside, c, seeds)
+    bounds = cut(MC.lof_bounds(clusters, c.k, c.metric))
     survivors = cut(assigned.join(MC.pruned(bounds, c.n), "mc_id", "left_anti").select("id"))
     return L.top_n(L.lof_of_survivors(survivors_only(points, survivors, c), survivors, c.k), c.n, c.threshold)
+
+
+def _best_first(points: DataFrame, assigned: DataFrame, clusters: DataFrame, count: int, beside: DataFrame | None, c: LofConfig, seeds: int, share: float = 0.2) -> DataFrame:
+    """The scores of many small clusters' members in order of their upper bounds, as far as these reach the n-th score; if too many do, those of all points."""
+    bounds, near = MC.bounds_and_near(clusters, c.k, c.metric, beside=beside)
+    bounds = cut(bounds)
+
+    def scores(asked: DataFrame) -> DataFrame:
+        knn = MC.knn_near(assigned, near, MC.around(near, asked), c.k, c.metric)
+        return cut(L.lof_of_survivors(knn, assigned.join(asked, "mc_id", "left_semi").select("id"), c.k))
+
+    unknown = bounds.where("upper is null").select("mc_id")
+    first = cut(unknown.unionByName(bounds.where("upper is not null").orderBy(F.desc("upper"), "mc_id").limit(seeds).select("mc_id")))
+    if first.count() > share * count:
+        return grid(points, c)
+    known = scores(first)
+    best = L.top_n(known, c.n, c.threshold).select("lof").collect()  # n numbers
+    least = bounds.orderBy(F.desc("lower"), "mc_id").limit(c.n).agg(F.count(F.lit(1)).alias("c"), F.min("lower").alias("m")).first()
+    least = max(best[-1]["lof"] if len(best) == c.n else c.threshold, least["m"] if least["c"] == c.n else c.threshold)
+    rest = cut(bounds.where(F.col("upper") >= least - 1e-6 - 1e-9 * abs(least)).select("mc_id").join(first, "mc_id", "left_anti"))
+    left = rest.count()
+    if left > share * count:
+        return grid(points, c)
+    return L.top_n(known.unionByName(scores(rest)) if left else known, c.n, c.threshold)

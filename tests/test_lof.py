@@ -257,6 +257,51 @@ def test_micro_cluster_plan_of_many_clusters(spark, monkeypatch):
     assert [tuple(r) for r in S.micro_cluster(df, centroids, LofConfig(n=4)).collect()] == want
 
 
+@pytest.mark.parametrize("name", ["L1", "L2"])
+def test_micro_cluster_plan_scores_the_highest_bounds_first(spark, monkeypatch, name):
+    """Lower bounds alone prune nothing here: exact scores of few clusters do, so no neighbours of all points are looked for."""
+    points = [(i, float(i % 50), float(i // 50)) for i in range(2600)] + [(5000 + i, *p) for i, p in enumerate([(-60.0, 10.0), (-120.0, 10.0), (-180.0, 10.0), (160.0, 10.0), (20.0, -50.0), (20.0, 180.0), (7.0, 7.0)])]
+    df = spark.createDataFrame(points, POINTS)
+    centroids = MC.centroids_by(df.selectExpr("*", "floor(x / 2) * 1000000 + floor(y) as name"), "name")
+    c = LofConfig(n=4, metric=name)
+    want = [tuple(r) for r in S.grid(df, c).collect()]
+    bounds = MC.lof_bounds(MC.stats(MC.assign(df, centroids, name), centroids), 6, name).persist()
+    assert MC.pruned(bounds, 4).count() < bounds.count() / 5
+    for plain in ("knn_grid", "grid"):
+        monkeypatch.setattr(S, plain, lambda *a: pytest.fail("neighbours of all points"))
+    assert [tuple(r) for r in S.micro_cluster(df, centroids, c).collect()] == want
+    # the seed alone gives no threshold worth the name; others follow, or all if these are too many
+    monkeypatch.undo()
+    assert [tuple(r) for r in S.micro_cluster(df, centroids, c, seeds=1).collect()] == want
+    assert [tuple(r) for r in S.micro_cluster(df, centroids, c, seeds=4).collect()] == want
+    assert [tuple(r) for r in S.micro_cluster(df, centroids, LofConfig(n=4, metric=name, threshold=1e9)).collect()] == []
+
+
+@pytest.mark.parametrize("name", ["L1", "L2"])
+def test_one_search_serves_assignment_and_bounds(spark, name):
+    """The others around a cluster are k, or are looked for where centroids have no points; bounds are those of all pairs, and all neighbours lie in the clusters named."""
+    rng = random.Random(17)
+    points = [(i, float(i % 30), float(i // 30)) for i in range(900)] + [(1000 + i, rng.gauss(-90, 30), rng.gauss(15, 1)) for i in range(60)] + [(2000 + i, 400.0 * i, 900.0) for i in range(1, 9)]
+    df = spark.createDataFrame(points, POINTS)
+    centres = [(i + 1, 2.0 * (i % 15) + 0.5, float(i // 15)) for i in range(450)] + [(500, -100.0, 15.0), (501, -99.0, 15.0), (502, -99.0, 15.0)] + [(600 + i, 400.0 * i, 900.0) for i in range(1, 9)]
+    empty = [(700 + i, 0.5, 0.1 + 0.01 * i) for i in range(8)]
+    for centroids in (centres, centres + empty):
+        held = spark.createDataFrame(centroids, "mc_id long, cx double, cy double").persist()
+        assigned, beside = MC.assign_near(df, held, 6, name)
+        rows = sorted(tuple(r) for r in assigned.collect())
+        assert rows == sorted(tuple(r) for r in MC.assign(df, held, name).select(*assigned.columns).collect())
+        clusters = MC.stats(assigned, held).persist()
+        assert clusters.count() > MC.FEW and {r["c"] for r in beside.groupBy("mc_id").agg({"other": "count"}).withColumnRenamed("count(other)", "c").collect()} == {6}
+        bounds, near = MC.bounds_and_near(clusters, 6, name, beside=beside)
+        got = {r["mc_id"]: (r["n"], r["lower"], r["upper"]) for r in bounds.collect()}
+        want = {r["mc_id"]: (r["n"], r["lower"], r["upper"]) for r in MC.lof_bounds(clusters, 6, name, few=1000).collect()}
+        assert got.keys() == want.keys()
+        for m, (n, low, high) in want.items():
+            assert got[m][0] == n and got[m][1] == pytest.approx(low, abs=1e-4) and (high is None) == (got[m][2] is None) and (high is None or got[m][2] == pytest.approx(high, rel=1e-4))
+        found = MC.knn_near(assigned, near, clusters.select("mc_id"), 6, name)
+        assert sorted(tuple(r) for r in found.select("id", "nid", "rn").collect()) == sorted(tuple(r) for r in knn_grid(df, 6, name).select("id", "nid", "rn").collect())
+
+
 def test_splitting_and_merging_take_no_job_a_level(spark, monkeypatch):
     """A table is split in one task, with the buckets of splitting level by level, and the passes of merging do not grow with the levels."""
     rng = random.Random(16)
